@@ -1,0 +1,33 @@
+"""Plan-time size checks and the shared scratch folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Spark's own size estimate of a plan, without running it; None where it is not exposed."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return None
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; only a local session falls back to /tmp."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        configured = "/tmp/shopmeld-scratch"
+    return f"{configured.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a result to the shared folder and read it back: its rows can no longer change when
+    a lost executor makes Spark recompute them, and the plan behind it is cut."""
+    path = f"{scratch_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
