@@ -260,7 +260,7 @@ RELATIONS["kpi_platform_overview"] = f"""
 RELATIONS["product_base"] = f"""
     SELECT i.platform, i.product_id, i.product_name, i.sku,
         COUNT(DISTINCT i.order_id) AS total_orders, {_big("SUM(i.quantity)")} AS total_units_sold,
-        SUM(i.line_total) AS total_revenue, ROUND({_avg("i.unit_price")}, 6) AS avg_selling_price,
+        SUM(i.line_total) AS total_revenue, {_avg("i.unit_price")} AS avg_selling_price,
         COUNT(DISTINCT o.order_date) AS days_with_sales, MIN(o.order_date) AS first_sale_date,
         MAX(o.order_date) AS last_sale_date,
         {_big(f"SUM(CASE WHEN o.order_month = {_THIS_MONTH} THEN i.quantity ELSE 0 END)")} AS units_this_month,

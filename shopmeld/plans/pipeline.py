@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,30 +41,45 @@ def selected_models(select: str | Iterable[str] | None = None) -> list[str]:
     return chosen
 
 
-def build_models(
-    raw: Mapping[str, DataFrame], as_of: dt.date, stored: Mapping[str, DataFrame] | None = None
-) -> dict[str, DataFrame]:
-    """All models as lazy DataFrames; `stored` replaces a model by an already written copy."""
-    models: dict[str, DataFrame] = dict(stored or {})
-
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        return models.setdefault(name, df)
-
-    for name in STAGING:
-        keep(name, stage(raw, name))
-    orders = keep(
-        "int_unified_orders", unified_orders([models[f"stg_{p}_orders"] for p in config.PLATFORMS])
-    )
-    items = keep(
-        "int_unified_order_items",
-        unified_order_items([models[f"stg_{p}_order_items"] for p in config.PLATFORMS]),
-    )
-    keep("kpi_daily_snapshot", marts.kpi_daily_snapshot(orders))
-    keep("kpi_platform_overview", marts.kpi_platform_overview(orders, as_of))
-    keep("kpi_revenue_summary", marts.kpi_revenue_summary(orders))
-    if "kpi_product_performance" not in models:
-        keep("kpi_product_performance", marts.kpi_product_performance(items, orders, as_of))
-    return {name: models[name] for name in MODEL_TAGS}
+class Models(Mapping[str, DataFrame]):
+    """All models as lazy DataFrames, each put together once and only when asked for."""
+
+    def __init__(self, raw: Mapping[str, DataFrame], as_of: dt.date):
+        self._raw, self._as_of = raw, as_of
+        self._built: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in MODEL_TAGS:
+            raise KeyError(name)
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(MODEL_TAGS)
+
+    def __len__(self) -> int:
+        return len(MODEL_TAGS)
+
+    def replace(self, name: str, stored: DataFrame) -> None:
+        """Let a stored copy stand in for a model from now on."""
+        self._built[name] = stored
+
+    def _build(self, name: str) -> DataFrame:
+        if name in STAGING:
+            return stage(self._raw, name)
+        if name == "int_unified_orders":
+            return unified_orders([self[f"stg_{p}_orders"] for p in config.PLATFORMS])
+        if name == "int_unified_order_items":
+            return unified_order_items([self[f"stg_{p}_order_items"] for p in config.PLATFORMS])
+        orders = self["int_unified_orders"]
+        if name == "kpi_daily_snapshot":
+            return marts.kpi_daily_snapshot(orders)
+        if name == "kpi_platform_overview":
+            return marts.kpi_platform_overview(orders, self._as_of)
+        if name == "kpi_revenue_summary":
+            return marts.kpi_revenue_summary(orders)
+        return marts.kpi_product_performance(self["int_unified_order_items"], orders, self._as_of)
 
 
 def register_views(models: Mapping[str, DataFrame]) -> list[str]:
@@ -74,11 +89,13 @@ def register_views(models: Mapping[str, DataFrame]) -> list[str]:
     return list(models)
 
 
-def write_mart(df: DataFrame, base: str, name: str) -> DataFrame:
+def write_model(
+    df: DataFrame, base: str, name: str, partition_by: Sequence[str] = ()
+) -> DataFrame:
     """Full refresh of one stored model; returns the stored copy."""
     path = f"{base}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int) -> DataFrame:
@@ -115,18 +132,18 @@ def run_models(
     relations once, partitioned by platform, when parsing the raw JSON costs more than that write.
     """
     names = selected_models(select)
-    stored: dict[str, DataFrame] = {}
+    models = Models(raw, as_of)
     if warehouse and store_intermediate:
-        drafts = build_models(raw, as_of)
-        for name in ("int_unified_orders", "int_unified_order_items"):
-            path = f"{warehouse}/intermediate/{name}"
-            drafts[name].write.mode("overwrite").partitionBy("platform").parquet(path)
-            stored[name] = drafts[name].sparkSession.read.schema(drafts[name].schema).parquet(path)
-    models = build_models(raw, as_of, stored)
+        needed = ["int_unified_orders"]
+        if {"int_unified_order_items", "kpi_product_performance"} & set(names):
+            needed.append("int_unified_order_items")
+        for name in needed:
+            stored = write_model(models[name], f"{warehouse}/intermediate", name, ["platform"])
+            models.replace(name, stored)
     if warehouse:
         for name in names:
             if "marts" in MODEL_TAGS[name]:
-                models[name] = write_mart(models[name], f"{warehouse}/marts", name)
+                models.replace(name, write_model(models[name], f"{warehouse}/marts", name))
     built = {name: models[name] for name in names}
     register_views(built)
     return built

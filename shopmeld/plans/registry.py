@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,11 +65,11 @@ class Shop:
         self.spark, self.sf_dir = spark, sf_dir
         self.raw = DerivedRawTables(spark, sf_dir)
 
-    @property
+    @cached_property
     def orders(self) -> DataFrame:
         return orders_of(self.raw)
 
-    @property
+    @cached_property
     def items(self) -> DataFrame:
         return order_items_of(self.raw)
 
@@ -85,8 +86,7 @@ class Shop:
         return marts.kpi_revenue_summary(self.orders)
 
     def products(self, spread: bool | None = None) -> DataFrame:
-        ranked = marts.kpi_product_performance(self.items, self.orders, AS_OF, spread)
-        return ranked.withColumn("avg_selling_price", F.round("avg_selling_price", 6))
+        return marts.kpi_product_performance(self.items, self.orders, AS_OF, spread)
 
     @property
     def dashboard(self) -> DataFrame:
@@ -172,7 +172,7 @@ def _table_preview(shop: Shop) -> DataFrame:
 
 
 def _dq_suite(shop: Shop) -> DataFrame:
-    return quality.run_quality_suite(pipeline.build_models(shop.raw, AS_OF))
+    return quality.run_quality_suite(pipeline.Models(shop.raw, AS_OF))
 
 
 def _model_row_counts(shop: Shop) -> DataFrame:

@@ -15,7 +15,9 @@ SETTINGS = {
     # An aggregate right above a join reuses the join's partitioning, which would stop AQE from
     # splitting a hot order; this lets it split and pay one more shuffle in that case only.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Recording the Python call site of every column costs several JVM round trips each; a model
+    # has hundreds of columns.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -9,7 +9,6 @@ import re
 from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shopmeld.schemas import RAW_SCHEMAS
 
@@ -279,6 +278,19 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
     ),
 }
 
+# Schemas of the driver tables the expressions read.
+SOURCE_SCHEMAS = {
+    "customer": """c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE,
+        c_mktsegment STRING""",
+    "part": """p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT,
+        p_retailprice DOUBLE""",
+    "orders": """o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE,
+        o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING""",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
+        l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE,
+        l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
+}
+
 _EPOCH = re.compile(r"EPOCH\((\w+)\)")
 
 
@@ -290,21 +302,24 @@ class DerivedRawTables(Mapping[str, DataFrame]):
 
     def __init__(self, spark: SparkSession, sf_dir: str, streaming: bool = False):
         self._spark, self._sf_dir, self._streaming = spark, sf_dir, streaming
+        self._opened: dict[str, DataFrame] = {}
 
     def _scan(self, source: str) -> DataFrame:
-        df = self._spark.read.parquet(f"{self._sf_dir}/{source}.parquet")
-        if not self._streaming:
-            return df
-        # A pattern, because a file stream takes a plain path for a directory.
-        pattern = f"{self._sf_dir}/{{{source}.parquet}}"
-        return self._spark.readStream.schema(df.schema).parquet(pattern)
+        schema = SOURCE_SCHEMAS[source]
+        if self._streaming:
+            # A pattern, because a file stream takes a plain path for a directory.
+            pattern = f"{self._sf_dir}/{{{source}.parquet}}"
+            return self._spark.readStream.schema(schema).parquet(pattern)
+        return self._spark.read.schema(schema).parquet(f"{self._sf_dir}/{source}.parquet")
 
     def __getitem__(self, name: str) -> DataFrame:
-        source, condition, columns = DERIVED[name]
-        df = self._scan(source)
-        if condition:
-            df = df.filter(condition)
-        return df.select(*(_typed(name, column, text) for column, text in columns.items()))
+        if name not in self._opened:
+            source, condition, columns = DERIVED[name]
+            df = self._scan(source)
+            if condition:
+                df = df.filter(condition)
+            self._opened[name] = df.selectExpr(*_typed(name, columns))
+        return self._opened[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(DERIVED)
@@ -313,12 +328,13 @@ class DerivedRawTables(Mapping[str, DataFrame]):
         return len(DERIVED)
 
 
-def _typed(table: str, column: str, text: str):
+def _typed(table: str, columns: Mapping[str, str]) -> Iterator[str]:
+    """The expressions as Spark SQL, cast to the raw schema's types."""
     types = dict(re.findall(r"(\w+) (\w+(?:\(\d+,\d+\))?)", RAW_SCHEMAS[table]))
-    spark_text = _EPOCH.sub(
-        r"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', \1)", text
-    ).replace("timestamp '", "timestamp_ntz '")
-    return F.expr(spark_text).cast(types[column]).alias(column)
+    seconds = r"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', \1)"
+    for column, text in columns.items():
+        spark_text = _EPOCH.sub(seconds, text).replace("timestamp '", "timestamp_ntz '")
+        yield f"cast({spark_text} as {types[column]}) as {column}"
 
 
 def derived_sql(name: str) -> str:
