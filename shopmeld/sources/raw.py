@@ -20,11 +20,12 @@ class RawTables(Mapping[str, DataFrame]):
 
     def __init__(self, spark: SparkSession, base: str, fmt: str = "parquet"):
         self._spark, self._base, self._fmt = spark, base, fmt
+        self._opened: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in RAW_SCHEMAS:
-            raise KeyError(name)
-        return raw_table(self._spark, self._base, name, self._fmt)
+        if name not in self._opened:
+            self._opened[name] = raw_table(self._spark, self._base, name, self._fmt)
+        return self._opened[name]
 
     def __iter__(self) -> Iterator[str]:
         return iter(RAW_SCHEMAS)
