@@ -270,27 +270,32 @@ def _ranked_spread(metrics: DataFrame) -> DataFrame:
 def kpi_revenue_summary(orders: DataFrame) -> DataFrame:
     """One row per order date and platform with growth and month-to-date totals.
 
-    The windows run on these daily rows, of which a platform has one per calendar day.
+    Sums fold to a few rows per task before they are shuffled; only the distinct order count moves
+    one narrow row per order, so it is kept apart instead of dragging all sums along. The windows
+    run on the daily rows, of which a platform has one per calendar day.
     """
     paid, fulfilled = F.col("is_paid"), F.col("is_fulfilled")
-    daily = (
-        orders.filter(~F.col("is_cancelled"))
-        .groupBy("order_date", "platform")
-        .agg(
-            F.count_distinct("order_id").alias("total_orders"),
-            F.sum("total_amount").alias("gross_revenue"),
-            F.sum("total_amount_usd").alias("gross_revenue_usd"),
-            F.sum("discount_amount").alias("total_discounts"),
-            F.sum(F.col("total_amount") - F.col("discount_amount")).alias("net_revenue"),
-            exact_avg(F.col("total_amount")).alias("avg_order_value"),
-            exact_avg(F.col("total_amount_usd")).alias("avg_order_value_usd"),
-            exact_avg(F.col("item_count")).alias("avg_items_per_order"),
-            F.count_if(paid).alias("paid_orders"),
-            F.count_if(~paid).alias("unpaid_orders"),
-            F.count_if(fulfilled).alias("fulfilled_orders"),
-            F.count_if(~fulfilled & paid).alias("pending_fulfillment"),
-        )
+    kept = orders.filter(~F.col("is_cancelled"))
+    sums = kept.groupBy("order_date", "platform").agg(
+        F.sum("total_amount").alias("gross_revenue"),
+        F.sum("total_amount_usd").alias("gross_revenue_usd"),
+        F.sum("discount_amount").alias("total_discounts"),
+        F.sum(F.col("total_amount") - F.col("discount_amount")).alias("net_revenue"),
+        exact_avg(F.col("total_amount")).alias("avg_order_value"),
+        exact_avg(F.col("total_amount_usd")).alias("avg_order_value_usd"),
+        exact_avg(F.col("item_count")).alias("avg_items_per_order"),
+        F.count_if(paid).alias("paid_orders"),
+        F.count_if(~paid).alias("unpaid_orders"),
+        F.count_if(fulfilled).alias("fulfilled_orders"),
+        F.count_if(~fulfilled & paid).alias("pending_fulfillment"),
+    )
+    counts = kept.groupBy(
+        F.col("order_date").alias("_date"), F.col("platform").alias("_platform")
+    ).agg(F.count_distinct("order_id").alias("total_orders"))
+    same_row = F.col("order_date").eqNullSafe(F.col("_date")) & F.col("platform").eqNullSafe(
+        F.col("_platform")
     )
+    daily = sums.join(counts, same_row).drop("_date", "_platform")
     by_date = W.partitionBy("platform").orderBy(F.asc_nulls_last("order_date"))
     in_month = W.partitionBy("platform", F.trunc("order_date", "month")).orderBy(
         F.asc_nulls_last("order_date")

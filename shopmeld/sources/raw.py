@@ -75,4 +75,8 @@ def platform_mappings(spark: SparkSession, path: str | None = None) -> DataFrame
     """Display name, default currency and region per platform, from a CSV file if one is given."""
     if path:
         return csv_seed(spark, path, PLATFORM_INFO_SCHEMA)
-    return spark.createDataFrame(list(config.PLATFORM_INFO), PLATFORM_INFO_SCHEMA)
+    # As SQL literals Spark knows the size and never shuffles the other side of a join with them;
+    # rows handed over from Python would have no known size.
+    rows = ", ".join(str(row) for row in config.PLATFORM_INFO)
+    names = [field.split()[0] for field in PLATFORM_INFO_SCHEMA.split(", ")]
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS info({', '.join(names)})")

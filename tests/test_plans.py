@@ -8,9 +8,9 @@ import pytest
 from conftest import day, moment
 
 from shopmeld.operators import customers, marts, products, profitability
-from shopmeld.operators.intermediate import order_items_of, orders_of
+from shopmeld.operators.intermediate import order_items_of, orders_of, with_platform_info
 from shopmeld.plans import pipeline
-from shopmeld.sources.raw import RawTables
+from shopmeld.sources.raw import RawTables, platform_mappings
 from shopmeld.sources.synth import synth_raw
 
 NOW = moment("2024-06-30 12:00:00")
@@ -99,6 +99,11 @@ def test_bucketed_tables_join_without_shuffle(spark, raw, no_broadcast):
     assert sorted(metrics.collect()) == sorted(straight.collect())
 
 
+def test_platform_lookup_never_shuffles_orders(spark, raw):
+    text = plan(with_platform_info(orders_of(raw), platform_mappings(spark)))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
 def test_top_lists_do_not_sort_everything(raw):
     assert "TakeOrderedAndProject" in plan(products.top_products(raw, NOW))
     assert "TakeOrderedAndProject" in plan(customers.top_customers(raw, "amazon"))
