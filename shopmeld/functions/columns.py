@@ -178,7 +178,6 @@ def text_of(value: Column, type_name: str) -> Column:
     if type_name == "boolean":
         return F.initcap(value.cast("string"))
     if type_name in ("timestamp", "timestamp_ntz"):
-        whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        micros = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        return F.when(micros.endswith(".000000"), whole).otherwise(micros)
+        text = value.cast("string")
+        return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
     return value.cast("string")

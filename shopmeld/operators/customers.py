@@ -71,7 +71,7 @@ def customer_cohorts(customers: DataFrame) -> DataFrame:
     """The latest 12 sign-up months."""
     return (
         customers.filter(F.col("created_at").isNotNull())
-        .groupBy(F.date_format("created_at", "yyyy-MM").alias("cohort_month"))
+        .groupBy(F.date_format(F.to_date("created_at"), "yyyy-MM").alias("cohort_month"))
         .agg(
             F.count("*").alias("customers"),
             zero_if_null(exact_avg(F.col("orders_count"))).alias("avg_orders"),
@@ -101,7 +101,7 @@ def top_customers_shopify(customers: DataFrame) -> DataFrame:
             "email",
             "orders_count",
             zero_if_null(F.col("total_spent")).alias("total_spent"),
-            F.date_format("created_at", "yyyy-MM-dd").alias("customer_since"),
+            F.to_date("created_at").cast("string").alias("customer_since"),
         )
     )
 
@@ -136,7 +136,7 @@ def top_customers_from_orders(orders: DataFrame, platform: str) -> DataFrame:
             "email",
             "orders_count",
             zero_if_null(F.col("spent")).alias("total_spent"),
-            F.date_format("first_order", "yyyy-MM-dd").alias("customer_since"),
+            F.to_date("first_order").cast("string").alias("customer_since"),
         )
     )
 
@@ -172,5 +172,5 @@ def customer_acquisition(
         .groupBy(F.to_date(_order_time(name)).alias("day"))
         .agg(newcomers.alias("new_customers"))
         .orderBy("day")
-        .select(F.date_format("day", "yyyy-MM-dd").alias("date"), "new_customers")
+        .select(F.col("day").cast("string").alias("date"), "new_customers")
     )

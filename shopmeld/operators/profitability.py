@@ -128,7 +128,7 @@ def platform_profitability_daily(
             F.count("*").alias("orders"),
         )
         .orderBy("day")
-        .select(F.date_format("day", "yyyy-MM-dd").alias("date"), "gross_revenue", "discounts", "orders")
+        .select(F.col("day").cast("string").alias("date"), "gross_revenue", "discounts", "orders")
     )
 
 

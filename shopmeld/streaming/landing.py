@@ -42,12 +42,18 @@ def upsert_raw(
 
 
 def current_rows(spark: SparkSession, target: str, table: str) -> DataFrame:
-    """The raw table as landed so far: the latest version per key over all batches.
-
-    Write it out from time to time to start the next landing from a compact base.
-    """
+    """The raw table as landed so far: the latest version per key over all batches."""
     key, changed = RAW_KEYS[table]
     landed = spark.read.schema(f"{RAW_SCHEMAS[table]}, {BATCH} INT").parquet(f"{target}/{table}")
     columns = [name for name in landed.columns if name != BATCH]
     version = F.struct(F.col(changed).alias("_changed"), BATCH, F.struct(*columns).alias("_row"))
     return landed.groupBy(key).agg(F.max(version).alias("_newest")).select("_newest._row.*")
+
+
+def compact(spark: SparkSession, target: str, table: str, new_target: str) -> None:
+    """Write the current rows to a new target, as the base on which landing goes on.
+
+    Later batches of the same checkpoint are stored next to the base and win over it.
+    """
+    base = f"{new_target}/{table}/{BATCH}=-1"
+    current_rows(spark, target, table).write.mode("overwrite").parquet(base)

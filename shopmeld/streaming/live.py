@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shopmeld.functions.columns import day, ntz
+
 WATERMARK = "1 day"
 REFRESH = "60 seconds"
 
@@ -13,9 +17,12 @@ REFRESH = "60 seconds"
 def daily_revenue(orders: DataFrame) -> DataFrame:
     """Orders, revenue and (approximate) buyers per day and platform, over a stream or a batch.
 
-    The state holds one row per day and platform, whatever the number of orders.
+    The state holds one row per day and platform, whatever the number of orders. Event time needs
+    a zoned timestamp: the order's clock time is read as UTC, in which day windows are aligned.
     """
-    moment = F.col("order_created_at").cast("timestamp")
+    epoch = ntz(dt.datetime(1970, 1, 1))
+    moment = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col("order_created_at")))
+    days = (F.unix_seconds("window.start") / 86400).cast("int")
     return (
         orders.filter(~F.col("is_cancelled"))
         .select(moment.alias("moment"), "platform", "total_amount_usd", "customer_id")
@@ -27,7 +34,7 @@ def daily_revenue(orders: DataFrame) -> DataFrame:
             F.approx_count_distinct("customer_id").alias("approx_buyers"),
         )
         .select(
-            F.to_date("window.start").alias("order_date"),
+            F.date_add(day(dt.date(1970, 1, 1)), days).alias("order_date"),
             "platform",
             "orders",
             "revenue_usd",

@@ -130,6 +130,15 @@ def test_live_equals_batch_and_resumes(spark, raw, landed, tmp_path):
     assert result.agg(F.sum("revenue_usd")).first()[0] == total
 
 
+def test_live_day_does_not_depend_on_the_session_zone(spark, orders_frame):
+    orders = orders_frame({"id": "1"}).withColumn("order_created_at", F.lit("2024-01-01 23:30:00").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert live.daily_revenue(orders).first().order_date == day("2024-01-01")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_upsert_keeps_newest_and_repeats_safely(spark, raw_rows, tmp_path):
     source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     table = "shopify_orders"
@@ -152,6 +161,12 @@ def test_upsert_keeps_newest_and_repeats_safely(spark, raw_rows, tmp_path):
         {"id": 2, "updated_at": late, "financial_status": "paid", "total_price": D("4")},
         {"id": 3, "updated_at": late, "financial_status": "paid", "total_price": D("5")},
     ) == {1: ("paid", 2), 2: ("paid", 4), 3: ("paid", 5)}
+    compacted = str(tmp_path / "compacted")
+    landing.compact(spark, target, table, compacted)
+    target = compacted
+    assert load({"id": 3, "updated_at": late, "financial_status": "refunded", "total_price": D("5")}) == {
+        1: ("paid", 2), 2: ("paid", 4), 3: ("refunded", 5),
+    }
 
 
 def test_latest_per_key_prefers_newest_of_many_copies(spark):
