@@ -25,6 +25,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coa
 FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
 """
 
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(list_slice(w, i, i + 3), ' ') AS g
+      FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+x AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM x JOIN n p ON a = p.r JOIN n q ON b = q.r WHERE 100 * k >= 80 * (p.n + q.n - k)),
+c AS (SELECT r, r AS o FROM d UNION SELECT c.r, e.b FROM c JOIN e ON c.o = e.a),
+f AS (SELECT c.r, min(o.doc_id) AS component_id FROM c JOIN d o ON c.o = o.r GROUP BY c.r)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN f USING (r) LEFT JOIN n USING (r)
+"""
+
 OP9 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
@@ -33,4 +46,4 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op9_exact_dedup": OP9}
+    return {"op4_decontamination": OP4, "op6_minhash_near_dedup": OP6, "op9_exact_dedup": OP9}

@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .near_dedup import near_duplicates
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,5 +27,6 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontamination": op4_decontamination,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
     }
