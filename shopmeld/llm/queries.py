@@ -10,6 +10,13 @@ from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .near_dedup import near_duplicates
+from .packing import packed
+from .token_files import token_round_trip
+from .tokens import public_file
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +31,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"), end_id=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
