@@ -3,13 +3,13 @@
 Every distinct shingle set gets `collections` keys, each made of `rows` minhashes. A table is a pair of
 collections, and a document's key there is the pair of its two collection keys: c collections serve
 c * (c - 1) / 2 tables of 2 * rows minhashes, where plain banding would compute that many for each table.
-Two sets are candidates when at least two collections agree. With 14 collections of 2 rows a pair of
-similarity 0.8 is missed with probability 1.5e-5, a closer one with less.
-
-Candidates are confirmed on full shingle sets. No bucket is turned into all its pairs:
+Two sets are candidates when at least two collections agree. With 20 collections of 3 rows a pair of
+similarity 0.8 is missed with probability 1.3e-5, a closer one with less. Candidates of too different sizes
+go, and those whose 128 lowest minhash bits differ in more than 32 places (at 0.8 that happens to one pair
+in a million); the others are confirmed on full shingle sets. No bucket is turned into all its pairs:
 1. each bucket links its members to its centre, the member that shares most collection keys;
-2. members that are not in the centre's component after that meet the bucket's other members of other
-   components, each pair once.
+2. members that are not in the centre's component after that meet the bucket's members of other components
+   in their own and the neighbouring size classes, each pair once.
 Within a component nothing is left to compare, so a large group of copies costs one link per member.
 """
 
@@ -26,14 +26,18 @@ from .bytes import mix, odd_numbers, shingles, steps, text_bytes, word_hashes
 from .common import ship, stored, whole
 from .components import connected_components
 
-COLLECTIONS = 14
-ROWS = 2
+COLLECTIONS = 20
+ROWS = 3
+BITS = 128
+MOST_BITS = 32
+OF_SET = ("_set", "_n", "_s", "_t")
 PERCENT = 80
 
 
 def _sketch(size: int, collections: int, rows: int):
-    """Batches of (_row, _text) -> per row the set's size, digest and collection keys."""
-    factors, shifts = odd_numbers(collections * rows, 11), odd_numbers(collections * rows, 12)
+    """Batches of (_id, _hash, _text) -> per row the set's size, digest, collection keys and minhash bits."""
+    functions = max(BITS, collections * rows)
+    factors, shifts = odd_numbers(functions, 11), odd_numbers(functions, 12)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,24 +48,25 @@ def _sketch(size: int, collections: int, rows: int):
                 n = np.diff(begin)
                 full = np.flatnonzero(n)
                 keys = np.zeros((stop - start, collections), np.uint64)
-                digest = np.zeros((stop - start, 2), np.uint64)
+                digest, bits = np.zeros((2, stop - start, 2), np.uint64)
                 if len(full):
                     at = begin[:-1][full]
                     digest[full, 0] = np.add.reduceat(mix(hashes + np.uint64(1)), at)
                     digest[full, 1] = np.bitwise_xor.reduceat(mix(hashes ^ factors[0]), at)
-                    for c in range(collections):
-                        key = np.full(len(full), c + 1, np.uint64)
-                        for k in range(c * rows, c * rows + rows):
-                            least = np.minimum.reduceat((hashes * factors[k] + shifts[k]) >> np.uint64(24), at)
-                            key = mix(key * factors[0] + least)
-                        keys[full, c] = key
+                    for k in range(functions):
+                        least = np.minimum.reduceat((hashes * factors[k] + shifts[k]) >> np.uint64(24), at)
+                        if (c := k // rows) < collections:
+                            keys[full, c] = mix((keys[full, c] + np.uint64(c + 1)) * factors[0] + least)
+                        if k < BITS:
+                            bits[full, k // 64] |= (least & np.uint64(1)) << np.uint64(k % 64)
                 sets = pa.array([d.tobytes() for d in digest], pa.binary())
                 flat = pa.ListArray.from_arrays(
                     pa.array(np.arange(0, keys.size + 1, collections, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(start, stop - start) for c in ("_id", "_hash")), pa.array(n), sets, flat],
-                    ["_id", "_hash", "_n", "_set", "_keys"],
+                    [*(batch.column(c).slice(start, stop - start) for c in ("_id", "_hash")), pa.array(n), sets, flat]
+                    + [pa.array(bits[:, i].view(np.int64)) for i in (0, 1)],
+                    ["_id", "_hash", "_n", "_set", "_keys", "_s", "_t"],
                 )
 
     return sketch
@@ -83,17 +88,17 @@ def _sets(size: int):
 
 
 def _tables(sketches: DataFrame, collections: int) -> DataFrame:
-    """(_set, _score, _table, _key) of distinct sets, without keys that only one set has.
+    """(_set, _n, _s, _t, _score, _table, _key) of distinct sets, without keys that only one set has.
 
     A collection key that no other set has can be in no shared table; dropping those first leaves few
     tables of most sets. The score is the number of sets met over all collections.
     """
-    one = sketches.where("_n > 0").groupBy("_set").agg(F.first("_keys").alias("_keys"))
-    keys = one.select("_set", F.posexplode("_keys").alias("_c", "_k"))
+    one = sketches.where("_n > 0").groupBy("_set", "_n", "_s", "_t").agg(F.first("_keys").alias("_keys"))
+    keys = one.select(*OF_SET, F.posexplode("_keys").alias("_c", "_k"))
     shared = keys.groupBy("_c", "_k").agg(F.count("*").alias("_m")).where("_m > 1")
     own = (
         keys.join(shared, ["_c", "_k"])
-        .groupBy("_set")
+        .groupBy(*OF_SET)
         .agg(F.array_sort(F.collect_list(F.struct("_c", "_k"))).alias("_own"), F.sum("_m").alias("_score"))
         .where(F.size("_own") > 1)
     )
@@ -108,7 +113,14 @@ def _tables(sketches: DataFrame, collections: int) -> DataFrame:
             ),
         )
     )
-    return own.select("_set", "_score", F.inline(pairs))
+    return own.select(*OF_SET, "_score", F.inline(pairs))
+
+
+def _alike(x: str, y: str, percent: int) -> Column:
+    """Sizes and minhash bits allow the similarity; x and y are suffixes of the two sides' columns."""
+    n, m = F.col(f"_n{x}"), F.col(f"_n{y}")
+    apart = sum(F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in ("_s", "_t"))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= MOST_BITS)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -134,32 +146,42 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, sketches: DataFrame, si
 def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) that span every component."""
     to_centre = stored(
-        buckets.where("_set <> _centre").select(F.col("_set").alias("a"), F.col("_centre").alias("b")).distinct(),
+        buckets.where(F.col("_set") != F.col("_set_c"))
+        .where(_alike("", "_c", percent))
+        .select(F.col("_set").alias("a"), F.col("_set_c").alias("b"))
+        .distinct(),
         "near-to-centre",
     )
     first = stored(_confirmed(to_centre, sets, percent), "near-links")
     found = stored(connected_components(first), "near-components")
     of = found.select(F.col("v").alias("_set"), F.col("component").alias("_of"))
-    of_centre = found.select(F.col("v").alias("_centre"), F.col("component").alias("_main"))
+    of_centre = found.select(F.col("v").alias("_set_c"), F.col("component").alias("_main"))
     placed = stored(
         buckets.join(of, "_set", "left")
-        .join(of_centre, "_centre", "left")
+        .join(of_centre, "_set_c", "left")
         .select(
             "_table",
             "_key",
-            "_set",
+            *OF_SET,
+            F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("_class"),
             F.coalesce("_of", "_set").alias("_of"),
-            F.coalesce("_main", "_centre").alias("_main"),
+            F.coalesce("_main", "_set_c").alias("_main"),
         ),
         "near-placed",
     )
+    # a pair at the threshold lies in one size class or in neighbouring ones; one more guards against rounding
+    near_classes = F.explode(F.array(*[F.col("_class") + i for i in (-2, -1, 0, 1, 2)]))
     outside = placed.where("_of <> _main").select(
-        "_table", "_key", F.col("_set").alias("a"), F.col("_of").alias("_a")
+        "_table", "_key", near_classes.alias("_class"), F.col("_of").alias("_of_x"), *[F.col(c).alias(f"{c}_x") for c in OF_SET]
     )
     cross = (
-        outside.join(placed.withColumnsRenamed({"_set": "b"}), ["_table", "_key"])
-        .where((F.col("_a") != F.col("_of")) & ((F.col("a") < F.col("b")) | (F.col("_of") == F.col("_main"))))
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        outside.join(placed, ["_table", "_key", "_class"])
+        .where(
+            (F.col("_of_x") != F.col("_of"))
+            & ((F.col("_set_x") < F.col("_set")) | (F.col("_of") == F.col("_main")))
+            & _alike("_x", "", percent)
+        )
+        .select(F.least("_set", "_set_x").alias("a"), F.greatest("_set", "_set_x").alias("b"))
         .distinct()
     )
     tried = to_centre.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -189,18 +211,18 @@ def near_duplicates(
     sketches = stored(
         docs.select(ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text")).mapInArrow(
             _sketch(size, collections, rows),
-            f"_id {kind}, _hash bigint, _n bigint, _set binary, _keys array<bigint>",
+            f"_id {kind}, _hash bigint, _n bigint, _set binary, _keys array<bigint>, _s bigint, _t bigint",
         ),
         "near-sketches",
     )
     tables = stored(_tables(sketches, collections), "near-tables")
     centres = (
         tables.groupBy("_table", "_key")
-        .agg(F.count("*").alias("_m"), F.max(F.struct("_score", "_set")).alias("_top"))
+        .agg(F.count("*").alias("_m"), F.max(F.struct("_score", *OF_SET)).alias("_top"))
         .where("_m > 1")
-        .select("_table", "_key", F.col("_top._set").alias("_centre"))
+        .select("_table", "_key", *[F.col(f"_top.{c}").alias(f"{c}_c") for c in OF_SET])
     )
-    buckets = stored(tables.join(centres, ["_table", "_key"]).select("_table", "_key", "_set", "_centre"), "near-buckets")
+    buckets = stored(tables.join(centres, ["_table", "_key"]).drop("_score"), "near-buckets")
     sets = stored(
         _candidate_sets(docs, buckets.select("_set").distinct(), sketches, size, text, ids), "near-sets"
     )
