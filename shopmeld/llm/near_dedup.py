@@ -5,11 +5,12 @@ collections, and a document's key there is the pair of its two collection keys:
 c * (c - 1) / 2 tables of 2 * rows minhashes, where plain banding would compute that many for each table.
 Two sets are candidates when at least two collections agree. With 20 collections of 3 rows a pair of
 similarity 0.8 is missed with probability 1.3e-5, a closer one with less. Candidates of too different sizes
-go, and those whose 128 lowest minhash bits differ in more than 32 places (at 0.8 that happens to one pair
-in a million); the others are confirmed on full shingle sets. No bucket is turned into all its pairs:
+go, and those whose 768 lowest minhash bits differ in more places than 3.9 standard deviations allow at the
+threshold (one pair in 20,000 at 0.8, fewer above); the others are confirmed on full shingle sets. No bucket
+is turned into all its pairs:
 1. each bucket links its members to its centre, the member that shares most collection keys;
 2. members that are not in the centre's component after that meet the bucket's members of other components
-   in their own and the neighbouring size classes, each pair once.
+   in their own and the neighbouring size classes, each pair only in the first table that it shares.
 Within a component nothing is left to compare, so a large group of copies costs one link per member.
 """
 
@@ -28,9 +29,8 @@ from .components import connected_components
 
 COLLECTIONS = 20
 ROWS = 3
-BITS = 128
-MOST_BITS = 32
-OF_SET = ("_set", "_n", "_s", "_t")
+BITS = 768
+DEVIATIONS = 3.9
 PERCENT = 80
 
 
@@ -48,7 +48,7 @@ def _sketch(size: int, collections: int, rows: int):
                 n = np.diff(begin)
                 full = np.flatnonzero(n)
                 keys = np.zeros((stop - start, collections), np.uint64)
-                digest, bits = np.zeros((2, stop - start, 2), np.uint64)
+                digest, bits = np.zeros((stop - start, 2), np.uint64), np.zeros((stop - start, BITS // 64), np.uint64)
                 if len(full):
                     at = begin[:-1][full]
                     digest[full, 0] = np.add.reduceat(mix(hashes + np.uint64(1)), at)
@@ -60,13 +60,13 @@ def _sketch(size: int, collections: int, rows: int):
                         if k < BITS:
                             bits[full, k // 64] |= (least & np.uint64(1)) << np.uint64(k % 64)
                 sets = pa.array([d.tobytes() for d in digest], pa.binary())
-                flat = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, keys.size + 1, collections, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64))
-                )
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1).view(np.int64)))
+                    for x in (keys, bits)
+                ]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(start, stop - start) for c in ("_id", "_hash")), pa.array(n), sets, flat]
-                    + [pa.array(bits[:, i].view(np.int64)) for i in (0, 1)],
-                    ["_id", "_hash", "_n", "_set", "_keys", "_s", "_t"],
+                    [*(batch.column(c).slice(start, stop - start) for c in ("_id", "_hash")), pa.array(n), sets, *lists],
+                    ["_id", "_hash", "_n", "_set", "_keys", "_bits"],
                 )
 
     return sketch
@@ -88,17 +88,17 @@ def _sets(size: int):
 
 
 def _tables(sketches: DataFrame, collections: int) -> DataFrame:
-    """(_set, _n, _s, _t, _score, _table, _key) of distinct sets, without keys that only one set has.
+    """(_set, _score, _table, _key) of distinct sets, without keys that only one set has.
 
     A collection key that no other set has can be in no shared table; dropping those first leaves few
     tables of most sets. The score is the number of sets met over all collections.
     """
-    one = sketches.where("_n > 0").groupBy("_set", "_n", "_s", "_t").agg(F.first("_keys").alias("_keys"))
-    keys = one.select(*OF_SET, F.posexplode("_keys").alias("_c", "_k"))
+    one = sketches.where("_n > 0").groupBy("_set").agg(F.first("_keys").alias("_keys"))
+    keys = one.select("_set", F.posexplode("_keys").alias("_c", "_k"))
     shared = keys.groupBy("_c", "_k").agg(F.count("*").alias("_m")).where("_m > 1")
     own = (
         keys.join(shared, ["_c", "_k"])
-        .groupBy(*OF_SET)
+        .groupBy("_set")
         .agg(F.array_sort(F.collect_list(F.struct("_c", "_k"))).alias("_own"), F.sum("_m").alias("_score"))
         .where(F.size("_own") > 1)
     )
@@ -113,14 +113,24 @@ def _tables(sketches: DataFrame, collections: int) -> DataFrame:
             ),
         )
     )
-    return own.select(*OF_SET, "_score", F.inline(pairs))
+    return own.select("_set", "_score", F.inline(pairs))
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
     """Sizes and minhash bits allow the similarity; x and y are suffixes of the two sides' columns."""
     n, m = F.col(f"_n{x}"), F.col(f"_n{y}")
-    apart = sum(F.bit_count(F.col(f"{c}{x}").bitwiseXOR(F.col(f"{c}{y}"))) for c in ("_s", "_t"))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= MOST_BITS)
+    differ = (1 - percent / 100) / 2
+    most = int(BITS * differ + DEVIATIONS * (BITS * differ * (1 - differ)) ** 0.5)
+    apart = sum(F.bit_count(F.get(f"_bits{x}", F.lit(i)).bitwiseXOR(F.get(f"_bits{y}", F.lit(i)))) for i in range(BITS // 64))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (apart <= most)
+
+
+def _first_shared(collections: int) -> Column:
+    """This table is the pair of the first two collections that agree; _tags: number << 32 | short key, in order."""
+    return F.expr(
+        f"slice(transform(array_intersect(_tags_x, _tags), t -> cast(shiftright(t, 32) as int)), 1, 2)"
+        f" = array(cast(_table div {collections} as int), cast(_table % {collections} as int))"
+    )
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -143,43 +153,42 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, sketches: DataFrame, si
     return texts.select("_set", "_text").mapInArrow(_sets(size), "_set binary, _hashes array<bigint>")
 
 
-def _links(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) that span every component."""
+def _links(buckets: DataFrame, traits: DataFrame, sets: DataFrame, percent: int, collections: int) -> DataFrame:
+    """Confirmed links (a, b) that span every component. traits: _set, _n, _bits, _tags."""
     to_centre = stored(
-        buckets.where(F.col("_set") != F.col("_set_c"))
-        .where(_alike("", "_c", percent))
-        .select(F.col("_set").alias("a"), F.col("_set_c").alias("b"))
-        .distinct(),
+        buckets.where("_set <> _centre").select(F.col("_set").alias("a"), F.col("_centre").alias("b")).distinct(),
         "near-to-centre",
     )
-    first = stored(_confirmed(to_centre, sets, percent), "near-links")
+    side = lambda name, x: traits.select(F.col("_set").alias(name), *[F.col(c).alias(f"{c}_{x}") for c in ("_n", "_bits")])
+    likely = to_centre.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_alike("_x", "_y", percent)).select("a", "b")
+    first = stored(_confirmed(likely, sets, percent), "near-links")
     found = stored(connected_components(first), "near-components")
     of = found.select(F.col("v").alias("_set"), F.col("component").alias("_of"))
-    of_centre = found.select(F.col("v").alias("_set_c"), F.col("component").alias("_main"))
+    of_centre = found.select(F.col("v").alias("_centre"), F.col("component").alias("_main"))
     placed = stored(
         buckets.join(of, "_set", "left")
-        .join(of_centre, "_set_c", "left")
-        .select(
-            "_table",
-            "_key",
-            *OF_SET,
-            F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(100.0 / percent))).alias("_class"),
-            F.coalesce("_of", "_set").alias("_of"),
-            F.coalesce("_main", "_set_c").alias("_main"),
-        ),
+        .join(of_centre, "_centre", "left")
+        .select("_table", "_key", "_set", F.coalesce("_of", "_set").alias("_of"), F.coalesce("_main", "_centre").alias("_main")),
         "near-placed",
     )
+    apart = placed.where("_of <> _main")
+    # buckets that are whole components have nothing left to compare
+    open_buckets = placed.join(apart.select("_table", "_key").distinct(), ["_table", "_key"], "left_semi")
+    sized = open_buckets.join(traits, "_set").withColumn(
+        "_class", F.floor(F.log(F.col("_n").cast("double")) / F.log(F.lit(100.0 / percent)))
+    )
     # a pair at the threshold lies in one size class or in neighbouring ones; one more guards against rounding
     near_classes = F.explode(F.array(*[F.col("_class") + i for i in (-2, -1, 0, 1, 2)]))
-    outside = placed.where("_of <> _main").select(
-        "_table", "_key", near_classes.alias("_class"), F.col("_of").alias("_of_x"), *[F.col(c).alias(f"{c}_x") for c in OF_SET]
+    outside = sized.where("_of <> _main").select(
+        "_table", "_key", near_classes.alias("_class"), *[F.col(c).alias(f"{c}_x") for c in ("_of", "_set", "_n", "_bits", "_tags")]
     )
     cross = (
-        outside.join(placed, ["_table", "_key", "_class"])
+        outside.join(sized, ["_table", "_key", "_class"])
         .where(
             (F.col("_of_x") != F.col("_of"))
             & ((F.col("_set_x") < F.col("_set")) | (F.col("_of") == F.col("_main")))
             & _alike("_x", "", percent)
+            & _first_shared(collections)
         )
         .select(F.least("_set", "_set_x").alias("a"), F.greatest("_set", "_set_x").alias("b"))
         .distinct()
@@ -211,22 +220,27 @@ def near_duplicates(
     sketches = stored(
         docs.select(ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text")).mapInArrow(
             _sketch(size, collections, rows),
-            f"_id {kind}, _hash bigint, _n bigint, _set binary, _keys array<bigint>, _s bigint, _t bigint",
+            f"_id {kind}, _hash bigint, _n bigint, _set binary, _keys array<bigint>, _bits array<bigint>",
         ),
         "near-sketches",
     )
     tables = stored(_tables(sketches, collections), "near-tables")
     centres = (
         tables.groupBy("_table", "_key")
-        .agg(F.count("*").alias("_m"), F.max(F.struct("_score", *OF_SET)).alias("_top"))
+        .agg(F.count("*").alias("_m"), F.max(F.struct("_score", "_set")).alias("_top"))
         .where("_m > 1")
-        .select("_table", "_key", *[F.col(f"_top.{c}").alias(f"{c}_c") for c in OF_SET])
+        .select("_table", "_key", F.col("_top._set").alias("_centre"))
     )
     buckets = stored(tables.join(centres, ["_table", "_key"]).drop("_score"), "near-buckets")
     sets = stored(
         _candidate_sets(docs, buckets.select("_set").distinct(), sketches, size, text, ids), "near-sets"
     )
-    links = stored(_links(buckets, sets, percent), "near-confirmed")
+    tags = F.transform("_keys", lambda k, i: k.bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.shiftleft(i.cast("long"), 32)))
+    traits = stored(
+        buckets.select("_set").distinct().join(sketches.select("_set", "_n", "_bits", tags.alias("_tags")), "_set").dropDuplicates(["_set"]),
+        "near-traits",
+    )
+    links = stored(_links(buckets, traits, sets, percent, collections), "near-confirmed")
     components = connected_components(links).select(F.col("v").alias("_set"), F.col("component").alias("_of"))
     smallest = sketches.where("_n > 0").groupBy("_set").agg(F.min("_id").alias("_least"))
     placed = smallest.join(components, "_set", "left").select("_set", "_least", F.coalesce("_of", "_set").alias("_of"))
