@@ -3,10 +3,52 @@
 from __future__ import annotations
 
 from .common import UPPER, WORD
+from .licenses import PERCENT, PHRASES, TEMPLATES, split_words, template_sets
 
 LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}')"
 WORDS = f"regexp_extract_all({LOWERED}, '{WORD}')"
 
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+OP1 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT page_id, h, min(page_id) OVER (PARTITION BY h) AS a FROM p),
+x AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS s, a IS NOT NULL AND page_id IS DISTINCT FROM a AS again, a FROM f),
+g AS (SELECT *, list_transform([1, 11, 21, 31], lambda i: CAST('0x' || substr(s, i, 10) AS BIGINT)) AS five FROM x)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(five, lambda v: array_to_string(
+           list_transform(range(8), lambda j: substr('{BASE32}', CAST((v >> (35 - 5 * j)) & 31 AS INT) + 1, 1)), '')), '') AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN a END AS refers_to
+FROM g
+"""
+
+_SETS = template_sets(TEMPLATES)
+_STEP = max(len(split_words(t)) for t in TEMPLATES.values())
+_LISTS = ", ".join("('{}', [{}])".format(label, ", ".join(f"'{w}'" for w in sorted(s))) for label, s in _SETS.items())
+_PHRASES = ", ".join("('{}', [{}])".format(label, ", ".join(f"'{w}'" for w in p.split(" "))) for p, label in PHRASES.items())
+
+#: Brute force: every template against every block.
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+ph AS (SELECT * FROM (VALUES {_PHRASES}) v(label, p)),
+spots AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM d, ph WHERE len(w) >= len(p)),
+base AS (SELECT r, count(*) AS n, min(i) AS a, max(i) AS b FROM spots GROUP BY r),
+b AS (SELECT r, list_distinct(w[i + 1 : i + {2 * _STEP}]) AS s
+      FROM (SELECT r, w, unnest(range(0, greatest(1, len(w) - {_STEP}), {_STEP})) AS i FROM d)),
+t AS (SELECT * FROM (VALUES {_LISTS}) v(label, words)),
+m AS (SELECT r, label, max(len(list_intersect(s, words)) / len(words)) AS c FROM b, t
+      WHERE 100 * len(list_intersect(s, words)) >= {PERCENT} * len(words) GROUP BY r, label),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS v FROM (SELECT DISTINCT r, label FROM spots) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS v
+       FROM (SELECT r, label FROM spots UNION SELECT r, label FROM m) GROUP BY r),
+sc AS (SELECT r, max(c) AS c FROM m GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, a AS first_word, b AS last_word,
+       coalesce(bl.v, '') AS base_labels, coalesce(al.v, '') AS labels,
+       CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(sc.c, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r) LEFT JOIN sc USING (r)
+"""
+
 OP4 = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {WORDS} AS w FROM benchmark),
@@ -46,4 +88,4 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4, "op6_minhash_near_dedup": OP6, "op9_exact_dedup": OP9}
+    return {"op1_warc": OP1, "op2_license_scan": OP2, "op4_decontamination": OP4, "op6_minhash_near_dedup": OP6, "op9_exact_dedup": OP9}

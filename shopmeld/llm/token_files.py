@@ -84,7 +84,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str, dictionary: byt
         index, doc_ids, total, out = [], [], 0, None
         for batch in batches:
             if out is None:
-                out = store.open_output_stream(f"{root}/{name}")
+                out = store.open_output_stream(f"{root}/{name}", compression=None)
                 out.write(struct.pack(HEAD, MAGIC, np.dtype(kind).itemsize, 0, digest))
                 at = HEAD_BYTES
             doc_ids.append(batch.column("_id"))
