@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shopmeld.llm import exact_dedup, near_dedup
 from shopmeld.llm.common import stored, table
 from shopmeld.llm.decontamination import decontaminate
-from shopmeld.llm.exact_dedup import keep_one
+from shopmeld.llm.language import known_language
+from shopmeld.llm.packing import packed
+from shopmeld.llm.tokens import public_file
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of which no learnt language fills half, go."""
+    return known_language(docs)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, the one with the largest id."""
-    return keep_one(docs)
+    return exact_dedup.keep_one(docs)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by 80 % of their five-word shingles the one with the smallest id stays."""
+    return near_dedup.keep_one(docs, size=5)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +32,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their place in sequences of at most 4096 tokens."""
+    return packed(docs, public_file("word_bpe_49k.json"), end_id=1)
+
+
 STAGES = [
+    ("language_id", language_stage),
     ("exact_dedup", exact_dedup_stage),
+    ("near_dedup", near_dedup_stage),
     ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
 
-#: SQL cannot express the trained language model of the first stage.
+#: SQL cannot express the trained language model of the first stage, nor the tokenizer of the last.
 ORACLE_SQL = None
 
 
