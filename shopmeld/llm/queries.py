@@ -14,6 +14,7 @@ from .language import language_id
 from .licenses import license_scan
 from .near_dedup import near_duplicates
 from .packing import packed
+from .substring_dedup import repeated_bytes
 from .token_files import token_round_trip
 from .tokens import public_file
 from .warc import warc_round_trip
@@ -35,6 +36,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_license_scan": op2_license_scan,
         "op3_token_files": op3_token_files,
         "op4_decontamination": op4_decontamination,
+        "op5_suffix_array_dedup": op5_suffix_array_dedup,
         "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_language_id": op7_language_id,
         "op8_html_text": op8_html_text,
