@@ -69,7 +69,8 @@ def fit_dictionary(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> b
     some = docs.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, n // SAMPLE_DOCS))) == 0) if n > SAMPLE_DOCS else docs
     # characters that SAMPLE_IDS ids can come from
     few = some.select(F.substring("_text", 1, SAMPLE_IDS).alias("_text")).limit(SAMPLE_DOCS).repartition(1)
-    return few.mapInArrow(_train(tokenizer, end_id, kind), "dictionary binary").first()[0]
+    found = few.mapInArrow(_train(tokenizer, end_id, kind), "dictionary binary").first()
+    return found[0] if found else b""
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, kind: str, dictionary: bytes):
