@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, scratch, stored, whole
+from .common import partitions_for, stored, whole
 
 #: Deepest directory: 2^20 slots of 12 bytes can be broadcast at any size of the corpus.
 MAX_DEPTH = 20
