@@ -7,7 +7,8 @@ owns a run of consecutive strings; its context is the bytes that they cover. Anc
 own have no equal string anywhere. The others' contexts, one of each kind with its number, go to shards by
 anchor hash.
 
-A shard sorts the suffixes of its contexts by prefix doubling that only refines groups still equal
+A shard cuts its contexts to the part whose strings have hashes met in other contexts (the rest cannot be
+equal to anything), sorts their suffixes by prefix doubling that only refines groups still equal
 (Larsson and Sadakane), takes common prefixes of neighbours (Kasai), and so finds which strings start more
 than once. Equal strings always share a shard, so no merge across shards is needed; the price is that a hash
 with very many different contexts stays in one shard (see the README). The strings found repeated are mapped
@@ -64,33 +65,38 @@ def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> t
     return place[first], first, last
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one big-endian number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(7, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
+
+
 def suffix_array(data: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in the order of their first `most` bytes or more, and each one's rank (equal ranks: not told apart).
 
-    Starts from the order of 4-byte prefixes; each round doubles the compared length, but only sorts
-    suffixes whose group is not yet a single one.
+    Starts from the order of 8-byte prefixes; each round doubles the compared length, but only sorts
+    suffixes whose group is not yet a single one. Zeros stand for what follows the end of the data.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(4, np.int64)])
-    key = ((padded[:n] << 27) + (padded[1 : n + 1] << 18) + (padded[2 : n + 2] << 9) + padded[3 : n + 3]).astype(np.int64)
-    order = np.argsort(key, kind="stable")
+    key = eight_bytes(data)
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     heads = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[order] = heads
-    width = 4
+    width = 8
     while width < most:
-        sizes = np.bincount(heads, minlength=n)
-        open_at = np.flatnonzero(sizes[heads] > 1)  # places in the order whose group has several suffixes
+        alone = np.concatenate([heads[1:] != heads[:-1], [True]]) & (heads == np.arange(n))
+        open_at = np.flatnonzero(~alone)  # places in the order whose group has several suffixes
         if not len(open_at):
             break
         who = order[open_at]
         ahead = np.where(who + width < n, rank[np.minimum(who + width, n - 1)] + 1, 0)
-        group = heads[open_at]
-        by = np.lexsort((ahead, group))
+        key = heads[open_at] * (n + 1) + ahead  # group, then rank of what follows
+        by = np.argsort(key)
         order[open_at] = who[by]
-        ahead, group = ahead[by], group[by]
-        start = np.concatenate([[True], (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])])
+        key = key[by]
+        start = np.concatenate([[True], key[1:] != key[:-1]])
         heads[open_at] = open_at[np.maximum.accumulate(np.where(start, np.arange(len(start)), 0))]
         rank[order[open_at]] = heads[open_at]
         width *= 2
@@ -101,9 +107,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     """Common prefix, at most `most`, of each suffix in order with the one before it.
 
     By Kasai's rule the value at a text position is at least that of the position before, less one. Values
-    are compared out at every 16th position and carried from there, all positions of a residue at a time.
+    are compared out at every 16th position, eight bytes at a time and then singly, and carried from there,
+    all positions of a residue at a time.
     """
     n = len(data)
+    eight = eight_bytes(data)
     rank = np.empty(n, np.int64)
     rank[order] = np.arange(n)
     before = np.where(rank > 0, order[np.maximum(rank - 1, 0)], -1)
@@ -112,14 +120,39 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
         at = np.arange(residue, n, 16)
         if residue:
             known[at] = np.maximum(known[at - 1] - 1, 0)
-        live = at[before[at] >= 0]
-        while len(live):
-            a, b = live + known[live], before[live] + known[live]
-            ok = (known[live] < most) & (a < n) & (b < n)
-            ok[ok] = data[a[ok]] == data[b[ok]]
-            live = live[ok]
-            known[live] += 1
-    return known[order]
+        ready = at[before[at] >= 0]
+        for stride, values in ((8, eight), (1, data)):
+            live = ready
+            while len(live):
+                a, b = live + known[live], before[live] + known[live]
+                ok = (known[live] < most) & (a + stride <= n) & (b + stride <= n)
+                ok[ok] = values[a[ok]] == values[b[ok]]
+                live = live[ok]
+                known[live] += stride
+    return np.minimum(known, most)[order]
+
+
+def shared_ranges(contexts: list[bytes], weights: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Of each context the first and last string start whose hash other contexts have too, one that occurs
+    once among them; -1 where there is none. Other strings need no sorting: a string of a context that
+    occurs several times is known to repeat, and equal strings have equal hashes."""
+    sizes = np.array([len(c) for c in contexts])
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    counts = sizes - length + 1
+    owner = np.repeat(np.arange(len(contexts)), counts)
+    inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = begin[owner] + inner
+    hashes = _range_hashes(data, at, at + length, at)
+    order = np.argsort(hashes)
+    sorted_hashes = hashes[order]
+    heads = np.flatnonzero(np.concatenate([[True], sorted_hashes[1:] != sorted_hashes[:-1]]))
+    several = (np.diff(np.append(heads, len(order))) > 1) & (np.minimum.reduceat(weights[owner[order]], heads) == 1)
+    wanted = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
+    first, last = np.full(len(contexts), np.iinfo(np.int64).max), np.full(len(contexts), -1)
+    np.minimum.at(first, owner[wanted], inner[wanted])
+    np.maximum.at(last, owner[wanted], inner[wanted])
+    return np.where(last < 0, -1, first), last
 
 
 def repeated_starts(contexts: list[bytes], weights: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
@@ -133,7 +166,7 @@ def repeated_starts(contexts: list[bytes], weights: np.ndarray, length: int = LE
     shared = common_prefixes(data, order, length)
     whole_at = np.flatnonzero(room[order] >= length)
     starts = order[whole_at]
-    alike = np.minimum.reduceat(shared, np.concatenate([[0], whole_at[:-1] + 1])) >= length
+    alike = np.minimum.reduceat(shared[: whole_at[-1] + 1], np.concatenate([[0], whole_at[:-1] + 1])) >= length
     alike[0] = False
     group = np.cumsum(~alike) - 1
     total = np.bincount(group, weights[owner[starts]])
@@ -187,10 +220,14 @@ def _range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, place:
 def _shard(length: int):
     def find(items: pd.DataFrame) -> pd.DataFrame:
         items = items.sort_values(["_h", "_context"])
-        found = repeated_starts(list(items["_bytes"]), items["_n"].to_numpy(), length)
+        first, last = shared_ranges(list(items["_bytes"]), items["_n"].to_numpy(), length)
+        items = items.assign(_first=first, _last=last)[last >= 0]
         out = []
-        for h, context, flags in zip(items["_h"], items["_context"], found, strict=True):
-            out += [(h, context, a, b) for a, b in zip(*runs(flags), strict=True)]
+        if len(items):
+            cut = [c[a : b + length] for c, a, b in zip(items["_bytes"], items["_first"], items["_last"], strict=True)]
+            found = repeated_starts(cut, items["_n"].to_numpy(), length)
+            for h, context, skip, flags in zip(items["_h"], items["_context"], items["_first"], found, strict=True):
+                out += [(h, context, skip + a, skip + b) for a, b in zip(*runs(flags), strict=True)]
         return pd.DataFrame(out, columns=["_h", "_context", "_from", "_to"]).astype("int64")
 
     return find
