@@ -44,25 +44,25 @@ def window_hashes(data: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one text: anchor position, first and last string start that it owns."""
+def anchors(data: np.ndarray, length: int = LENGTH, seed: int = SEED_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one text: anchor position and hash, first and last string start that it owns."""
     n = len(data) - length + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = window_hashes(data, seed)
     window = length - seed + 1
     # leftmost minimum of every window by doubling: keep the place of the smaller, the left one on ties
-    best = np.arange(len(hashes))
+    best, least = np.arange(len(hashes), dtype=np.int32 if len(hashes) < 1 << 31 else np.int64), hashes
     width = 1
     while width * 2 <= window:
-        left, right = best[:-width], best[width:]
-        best = np.where(hashes[right] < hashes[left], right, left)
+        best = np.where(least[width:] < least[:-width], best[width:], best[:-width])
+        least = np.minimum(least[width:], least[:-width])
         width *= 2
-    left, right = best[:n], best[window - width : window - width + n]
-    place = np.where(hashes[right] < hashes[left], right, left)
+    ahead = window - width
+    place = np.where(least[ahead : ahead + n] < least[:n], best[ahead : ahead + n], best[:n]).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.concatenate([first[1:] - 1, [n - 1]])
-    return place[first], first, last
+    return place[first], hashes[place[first]], first, last
 
 
 def eight_bytes(data: np.ndarray) -> np.ndarray:
@@ -192,9 +192,8 @@ def _anchor_rows(length: int):
                 parts = []
                 for i in range(start, stop):
                     text = data[ends[i] : ends[i + 1]]
-                    place, first, last = anchors(text, length)
+                    place, h, first, last = anchors(text, length)
                     if len(place):
-                        h = window_hashes(text, SEED_BYTES)[place]
                         context = _range_hashes(text, first, last + length, place)
                         parts.append((h, context, np.full(len(place), docs[i]), first, last))
                 if parts:
@@ -264,7 +263,7 @@ def _cut(length: int):
 
 
 #: Context bytes of a shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 
 
 def repeated_bytes(
