@@ -1,27 +1,31 @@
-"""Plan-time size checks and the shared scratch folder."""
+"""The shared folder for intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's own size estimate of a plan, without running it; None where it is not exposed."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
+_LOCAL: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; only a local session falls back to /tmp."""
+    """A folder per application below spark.checkpoint.dir, which may be removed when it has ended.
+
+    A local session without that setting uses one temporary folder that goes when the process ends;
+    on a cluster the setting is required, because its machines share no temporary folder.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = "/tmp/shopmeld-scratch"
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="shopmeld-"))
+            atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+        configured = f"file://{_LOCAL[0]}"
     return f"{configured.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 

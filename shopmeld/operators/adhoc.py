@@ -23,14 +23,18 @@ class ForbiddenSqlError(ValueError):
 
 
 def check_sql(sql: str) -> bool:
-    """Raise unless the statement is read-only; return whether it limits its rows itself."""
-    words = re.findall(r"\w+", _QUOTED.sub(" ", sql).upper())
+    """Raise unless the statement is read-only; return whether its outermost clause limits the rows."""
+    plain = _QUOTED.sub(" ", sql).upper()
+    words = re.findall(r"\w+", plain)
     if not words or words[0] != "SELECT":
         raise ForbiddenSqlError("only SELECT statements are allowed")
     for word in FORBIDDEN_SQL_WORDS:
         if word in words:
             raise ForbiddenSqlError(f"statement contains forbidden keyword: {word}")
-    return "LIMIT" in words
+    inner = 1
+    while inner:
+        plain, inner = re.subn(r"\([^()]*\)", " ", plain)
+    return "LIMIT" in re.findall(r"\w+", plain)
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -39,16 +43,21 @@ def as_text(df: DataFrame) -> DataFrame:
 
 
 def run_sql(
-    spark: SparkSession, sql: str, limit: int = 100, args: Mapping[str, Any] | None = None
+    spark: SparkSession, sql: str, limit: int | None = 100, args: Mapping[str, Any] | None = None
 ) -> DataFrame:
-    """Run a SELECT with `:name` parameters; at most `limit` rows unless it has its own LIMIT."""
+    """Run a SELECT with `:name` parameters.
+
+    Unless its outermost clause is a LIMIT, at most `limit` rows come back, 100 by default; None gives all.
+    """
     own_limit = check_sql(sql)
     result = spark.sql(sql, args=dict(args or {}))
-    return as_text(result if own_limit else result.limit(limit))
+    return as_text(result if own_limit or limit is None else result.limit(limit))
 
 
 def preview_table(spark: SparkSession, schema: str, table: str, limit: int = 10) -> DataFrame:
-    """Some rows of a table, at most 100."""
+    """Some rows of a table; asking for more than 100 is an error."""
+    if limit > MAX_PREVIEW:
+        raise ValueError(f"limit is above {MAX_PREVIEW}")
     if not (schema.isidentifier() and table.isidentifier()):
         raise ValueError("invalid schema or table name")
-    return as_text(spark.table(f"`{schema}`.`{table}`").limit(min(limit, MAX_PREVIEW)))
+    return as_text(spark.table(f"`{schema}`.`{table}`").limit(limit))

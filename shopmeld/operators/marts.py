@@ -18,10 +18,6 @@ from shopmeld.functions.columns import (
     rounded_ratio,
 )
 from shopmeld.functions.ranking import spread_percent_rank, spread_row_number
-from shopmeld.functions.sizing import estimated_bytes
-
-# Items below this estimated size cannot yield a ranking group too large for one task.
-RANK_IN_ONE_TASK_BYTES = 256 << 20
 
 
 def _stamped(df: DataFrame) -> DataFrame:
@@ -174,19 +170,13 @@ def kpi_platform_overview(orders: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def kpi_product_performance(
-    items: DataFrame, orders: DataFrame, as_of: dt.date, spread: bool | None = None
-) -> DataFrame:
+def kpi_product_performance(items: DataFrame, orders: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per (platform, product, name, SKU) of non-cancelled orders, ranked per platform.
 
-    `spread` chooses how products are ranked: in one window task per platform, or spread over
-    many tasks. By default the estimated size of the items decides.
+    A platform's products are ranked over many tasks, whatever their number; the two numberings are
+    written to the shared folder while the plan is built (see functions/ranking.py).
     """
-    metrics = product_metrics(items, orders, as_of)
-    if spread is None:
-        size = estimated_bytes(items)
-        spread = size is None or size > RANK_IN_ONE_TASK_BYTES
-    ranked = _ranked_spread(metrics) if spread else _ranked_by_window(metrics)
+    ranked = _ranked(product_metrics(items, orders, as_of))
     tier = (
         F.when(F.col("revenue_rank") <= config.TOP_RANK, "Top 10")
         .when(F.col("revenue_percentile") >= config.TOP_PERCENTILE, "Top Performer")
@@ -246,24 +236,13 @@ def _order_by(measure: str) -> list[Column]:
     return [F.desc_nulls_first(measure), *ties]
 
 
-def _ranked_by_window(metrics: DataFrame) -> DataFrame:
-    platform = W.partitionBy("platform")
-    return metrics.withColumns(
-        {
-            "revenue_rank": F.row_number().over(platform.orderBy(*_order_by("total_revenue"))),
-            "units_rank": F.row_number().over(platform.orderBy(*_order_by("total_units_sold"))),
-            "revenue_percentile": F.percent_rank().over(
-                platform.orderBy(F.asc_nulls_last("total_revenue"))
-            ),
-        }
-    )
-
-
-def _ranked_spread(metrics: DataFrame) -> DataFrame:
+def _ranked(metrics: DataFrame) -> DataFrame:
     by_units = spread_row_number(metrics, "platform", _order_by("total_units_sold"), "units_rank")
-    by_both = spread_row_number(by_units, "platform", _order_by("total_revenue"), "revenue_rank")
+    by_both = spread_row_number(
+        by_units, "platform", _order_by("total_revenue"), "revenue_rank", size="_size"
+    )
     return spread_percent_rank(
-        by_both, "platform", "total_revenue", "revenue_rank", "revenue_percentile"
+        by_both, "platform", "total_revenue", "revenue_rank", "_size", "revenue_percentile"
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql.types import DecimalType, FloatType, IntegerType, ShortType
 
 from shopmeld import config
 from shopmeld.functions import columns as C
-from shopmeld.functions.sizing import scratch_dir
+from shopmeld.functions.scratch import scratch_dir
 from shopmeld.operators import (
     adhoc,
     customers,
@@ -85,8 +85,9 @@ class Shop:
     def revenue(self) -> DataFrame:
         return marts.kpi_revenue_summary(self.orders)
 
-    def products(self, spread: bool | None = None) -> DataFrame:
-        return marts.kpi_product_performance(self.items, self.orders, AS_OF, spread)
+    @property
+    def products(self) -> DataFrame:
+        return marts.kpi_product_performance(self.items, self.orders, AS_OF)
 
     @property
     def dashboard(self) -> DataFrame:
@@ -233,16 +234,16 @@ def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
         "platform_info": _platform_info,
         "kpi_daily_snapshot": lambda s: s.daily,
         "kpi_platform_overview": lambda s: s.overview,
-        "kpi_product_performance": lambda s: s.products(),
-        "kpi_product_performance_spread": lambda s: s.products(spread=True),
+        "kpi_product_performance": lambda s: s.products,
+        "kpi_product_performance_spread": lambda s: s.products,
         "kpi_revenue_summary": lambda s: s.revenue,
         "platform_overview": lambda s: kpis.platform_overview(s.overview),
         "daily_snapshots": lambda s: kpis.daily_snapshots(s.daily, AS_OF),
         "revenue_by_platform": lambda s: kpis.revenue_by_platform(s.revenue, AS_OF),
         "revenue_by_platform_shopee": lambda s: kpis.revenue_by_platform(s.revenue, AS_OF, "shopee"),
-        "product_performance": lambda s: kpis.product_performance(s.products()),
+        "product_performance": lambda s: kpis.product_performance(s.products),
         "product_performance_tier": lambda s: kpis.product_performance(
-            s.products(), "lazada", "Top Performer"
+            s.products, "lazada", "Top Performer"
         ),
         "dashboard_summary": _dashboard_summary,
         "today_summary": lambda s: kpis.today_summary(s.daily, AS_OF),

@@ -48,13 +48,17 @@ def live_daily_revenue(
 ) -> StreamingQuery:
     """Keep `target` at the current daily revenue of an order stream.
 
-    Every trigger rewrites the small result as a whole, so orders that arrive late for an old day
-    still count and a repeated batch changes nothing. `refresh=None` processes what is there and
+    Every trigger writes the small result as a whole to a folder of its own and then announces it, so
+    readers always see a complete version, orders that arrive late for an old day still count and a
+    repeated batch changes nothing. The state is merged in as many tasks as the session shuffles to.
+    Versions count the batches of a checkpoint: a new checkpoint needs a new target. `refresh=None` processes what is there and
     stops; stopping the query pauses it and a new start with the same checkpoint resumes it.
     """
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(target)
+    def publish(batch: DataFrame, version: int) -> None:
+        batch.repartition(1).write.mode("overwrite").parquet(f"{target}/version={version}")
+        said = batch.sparkSession.range(version, version + 1, numPartitions=1).toDF("version")
+        said.write.mode("append").parquet(f"{target}/published")
 
     writer = (
         daily_revenue(orders)
@@ -68,4 +72,5 @@ def live_daily_revenue(
 
 def live_result(spark: SparkSession, target: str) -> DataFrame:
     """The last published state."""
-    return spark.read.parquet(target)
+    last = spark.read.schema("version bigint").parquet(f"{target}/published").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{target}/version={last}")

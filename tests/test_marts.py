@@ -145,8 +145,7 @@ def _items(spark, rows):
     )
 
 
-@pytest.mark.parametrize("spread", [False, True])
-def test_products(spark, orders_frame, spread):
+def test_products(spark, orders_frame):
     orders = orders_frame(
         {"id": "1", "date": day("2024-03-01")},
         {"id": "2", "date": day("2024-03-01")},
@@ -168,7 +167,7 @@ def test_products(spark, orders_frame, spread):
     )
     rows = {
         (r.platform, r.product_id): r
-        for r in marts.kpi_product_performance(items, orders, AS_OF, spread).collect()
+        for r in marts.kpi_product_performance(items, orders, AS_OF).collect()
     }
     a, b = rows["shopify", "a"], rows["shopify", "b"]
     assert (a.total_orders, a.total_units_sold, a.total_revenue, a.days_with_sales) == (2, 4, 50, 1)
@@ -201,8 +200,8 @@ def test_spread_ranking_equals_windows(spark):
     rows.append(("single", "p", 1))
     df = spark.createDataFrame(rows, "g string, k string, v int").repartition(7)
     order = [F.desc_nulls_first("v"), F.asc("k")]
-    ranked = ranking.spread_row_number(df, "g", order, "rn")
-    ranked = ranking.spread_percent_rank(ranked, "g", "v", "rn", "pr")
+    ranked = ranking.spread_row_number(df, "g", order, "rn", size="n")
+    ranked = ranking.spread_percent_rank(ranked, "g", "v", "rn", "n", "pr")
     w = W.partitionBy("g")
     expected = df.withColumns(
         {

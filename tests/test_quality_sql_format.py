@@ -70,7 +70,12 @@ def test_sql_text_and_limits(spark):
 def test_preview(spark):
     spark.range(300).createOrReplaceGlobalTempView("numbers")
     assert adhoc.preview_table(spark, "global_temp", "numbers").count() == 10
-    assert adhoc.preview_table(spark, "global_temp", "numbers", 1000).count() == 100
+    assert adhoc.preview_table(spark, "global_temp", "numbers", 100).count() == 100
+    with pytest.raises(ValueError):
+        adhoc.preview_table(spark, "global_temp", "numbers", 1000)
+    assert adhoc.run_sql(spark, "SELECT id FROM range(250)", limit=None).count() == 250
+    assert adhoc.run_sql(spark, "SELECT id FROM (SELECT id FROM range(250) LIMIT 200)").count() == 100
+    assert adhoc.run_sql(spark, "SELECT id FROM range(250) LIMIT 150").count() == 150
     for schema, table in (("a b", "t"), ("a", "t;x")):
         with pytest.raises(ValueError):
             adhoc.preview_table(spark, schema, table)
