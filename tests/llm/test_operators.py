@@ -17,7 +17,7 @@ from shopmeld.llm.html_text import labelled_pages, main_text, parse, trained
 from shopmeld.llm.language import known_language, language_id
 from shopmeld.llm.licenses import license_scan
 from shopmeld.llm.packing import best_fit_decreasing, lower_bound, packed
-from shopmeld.llm.substring_dedup import common_prefixes, repeated_bytes, suffix_array
+from shopmeld.llm.substring_dedup import common_prefixes, repeated_bytes, repeated_starts, shared_ranges, suffix_array
 from shopmeld.llm.token_files import Shard, token_round_trip, write_tokens
 from shopmeld.llm.tokens import Encoder, public_file
 from shopmeld.llm.warc import byte_ranges, read_warc, warc_round_trip, write_warc
@@ -124,6 +124,29 @@ def test_suffix_array_and_prefixes():
         assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
 
 
+@pytest.mark.parametrize("letters", [2, 13])
+def test_repeated_starts_equal_brute_force(letters):
+    rng = np.random.default_rng(letters)
+    for _ in range(8):
+        base = rng.integers(97, 97 + letters, 400).astype(np.uint8).tobytes()
+        contexts = []
+        for start in rng.integers(0, 180, 12):
+            part = bytearray(base[start : start + 200 + rng.integers(0, 20)])
+            if rng.random() < 0.5:
+                part[rng.integers(0, len(part))] = 125
+            contexts.append(bytes(part))
+        weights = rng.integers(1, 3, 12)
+        seen = Counter()
+        for c, n in zip(contexts, weights, strict=True):
+            for i in range(len(c) - 199):
+                seen[c[i : i + 200]] += n
+        found, (first, last) = repeated_starts(contexts, weights), shared_ranges(contexts, weights)
+        for k, (c, flags) in enumerate(zip(contexts, found, strict=True)):
+            assert flags.tolist() == [seen[c[i : i + 200]] > 1 for i in range(len(c) - 199)]
+            at = np.flatnonzero(flags)
+            assert weights[k] > 1 or not len(at) or (first[k] <= at[0] and at[-1] <= last[k])
+
+
 def test_encoder_equals_library():
     tricky = ["a \n b", " x", "\n\nfoo\n bar\n", "a\n\n b  c\tq", "", "  ", "don't\nDo  9", "中文 中\n <|endoftext|> a\r\nb \x1c c \x01 d", LONG]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
