@@ -15,8 +15,15 @@ from shopmeld.operators.products import order_amount
 TOP = 20
 
 
-def _by_place(df: DataFrame, amount, places: dict, average: bool) -> DataFrame:
-    """The 20 places with the highest revenue; rows and revenue per place."""
+RANK = "listing_rank"
+
+
+def _by_place(df: DataFrame, amount, places: dict, average: bool, ranked: bool) -> DataFrame:
+    """The 20 places with the highest revenue; rows and revenue per place.
+
+    Places without any amount come first. `ranked` adds the place in the listing, which the shown
+    revenue (0 for a missing one) does not tell.
+    """
     averages = [exact_avg(amount).alias("average")] if average else []
     names = list(places)
     found = (
@@ -25,11 +32,14 @@ def _by_place(df: DataFrame, amount, places: dict, average: bool) -> DataFrame:
         .orderBy(F.desc_nulls_first("revenue"), *names)
         .limit(TOP)
     )
+    if ranked:
+        found = found.withColumn(RANK, F.row_number().over(W.orderBy(F.desc_nulls_first("revenue"), *names)))
     return found.select(
         *names,
         "customer_count",
         zero_if_null(F.col("revenue")).alias("total_revenue"),
         *([zero_if_null(F.col("average")).alias("avg_customer_value")] if average else []),
+        *([RANK] if ranked else []),
     )
 
 
@@ -39,26 +49,26 @@ def _with_address(df: DataFrame, column: str, city: str, country: str) -> DataFr
     return df.filter(F.col(column).isNotNull()).withColumn("address", parsed)
 
 
-def by_country_shopify(customers: DataFrame) -> DataFrame:
+def by_country_shopify(customers: DataFrame, ranked: bool = False) -> DataFrame:
     located = _with_address(customers, "default_address", "city", "country")
-    return _by_place(located, F.col("total_spent"), {"country": F.col("address.country")}, True)
+    return _by_place(located, F.col("total_spent"), {"country": F.col("address.country")}, True, ranked)
 
 
-def by_city_shopify(customers: DataFrame) -> DataFrame:
+def by_city_shopify(customers: DataFrame, ranked: bool = False) -> DataFrame:
     located = _with_address(customers, "default_address", "city", "country")
     places = {"city": F.col("address.city"), "country": F.col("address.country")}
-    return _by_place(located, F.col("total_spent"), places, False)
+    return _by_place(located, F.col("total_spent"), places, False, ranked)
 
 
-def by_country_amazon(orders: DataFrame) -> DataFrame:
+def by_country_amazon(orders: DataFrame, ranked: bool = False) -> DataFrame:
     located = _with_address(orders, "shipping_address", "City", "CountryCode")
-    return _by_place(located, order_amount("amazon"), {"country": F.col("address.CountryCode")}, True)
+    return _by_place(located, order_amount("amazon"), {"country": F.col("address.CountryCode")}, True, ranked)
 
 
-def by_city_amazon(orders: DataFrame) -> DataFrame:
+def by_city_amazon(orders: DataFrame, ranked: bool = False) -> DataFrame:
     located = _with_address(orders, "shipping_address", "City", "CountryCode")
     places = {"city": F.col("address.City"), "country": F.col("address.CountryCode")}
-    return _by_place(located, order_amount("amazon"), places, False)
+    return _by_place(located, order_amount("amazon"), places, False, ranked)
 
 
 def by_country_const(orders: DataFrame, platform: str) -> DataFrame:
@@ -82,33 +92,36 @@ def by_city_const(orders: DataFrame, platform: str) -> DataFrame:
     )
 
 
-def by_country(raw: Mapping[str, DataFrame], platform: str | None = None) -> DataFrame:
+def by_country(raw: Mapping[str, DataFrame], platform: str | None = None, ranked: bool = False) -> DataFrame:
     """Revenue by country of one platform; Shopify when none is named."""
     name = check_platform(platform)
     if name == "shopify":
-        return by_country_shopify(raw["shopify_customers"])
+        return by_country_shopify(raw["shopify_customers"], ranked)
     if name == "amazon":
-        return by_country_amazon(raw["amazon_orders"])
-    return by_country_const(raw[f"{name}_orders"], name)
+        return by_country_amazon(raw["amazon_orders"], ranked)
+    region = by_country_const(raw[f"{name}_orders"], name)
+    return region.withColumn(RANK, F.lit(1)) if ranked else region
 
 
-def by_city(raw: Mapping[str, DataFrame], platform: str | None = None) -> DataFrame:
+def by_city(raw: Mapping[str, DataFrame], platform: str | None = None, ranked: bool = False) -> DataFrame:
     """Revenue by city of one platform; Shopify when none is named."""
     name = check_platform(platform)
     if name == "shopify":
-        return by_city_shopify(raw["shopify_customers"])
+        return by_city_shopify(raw["shopify_customers"], ranked)
     if name == "amazon":
-        return by_city_amazon(raw["amazon_orders"])
-    return by_city_const(raw[f"{name}_orders"], name)
+        return by_city_amazon(raw["amazon_orders"], ranked)
+    region = by_city_const(raw[f"{name}_orders"], name)
+    return region.withColumn(RANK, F.lit(1)) if ranked else region
 
 
 def location_summary(countries: DataFrame, cities: DataFrame, platform: str) -> DataFrame:
-    """One row over the two listings (at most 20 rows each): their lengths and first places."""
+    """One row over the two ranked listings: their lengths and first places.
+
+    The totals count the listings, hence never pass the 20 places that a listing holds.
+    """
 
     def first_place(listing: DataFrame, name: str, kind: str) -> DataFrame:
-        names = [c for c in ("city", "country") if c in listing.columns]
-        rank = F.row_number().over(W.orderBy(F.desc("total_revenue"), *names))
-        return listing.select(F.lit(kind).alias("kind"), F.col(name).alias("place"), rank.alias("rank"))
+        return listing.select(F.lit(kind).alias("kind"), F.col(name).alias("place"), F.col(RANK).alias("rank"))
 
     places = first_place(countries, "country", "country").unionByName(
         first_place(cities, "city", "city")

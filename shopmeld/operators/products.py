@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from shopmeld.config import check_platform
 from shopmeld.functions.columns import epoch_seconds, exact_avg, ntz, or_default, zero_if_null
-from shopmeld.operators.staging import MONEY
 
 TOP = 20
 TRENDING = 10
+#: Amounts inside JSON payloads are summed as written; only staging rounds them to two digits.
+PAYLOAD_MONEY = "decimal(20,6)"
 
 
 def since(platform: str, cutoff: dt.datetime) -> Column:
@@ -27,7 +28,7 @@ def since(platform: str, cutoff: dt.datetime) -> Column:
 def order_amount(platform: str) -> Column:
     """The order total of a raw order row."""
     if platform == "amazon":
-        return F.get_json_object("order_total", "$.Amount").cast(MONEY)
+        return F.get_json_object("order_total", "$.Amount").cast(PAYLOAD_MONEY)
     return F.col({"shopify": "total_price", "lazada": "price", "shopee": "total_amount"}[platform])
 
 
@@ -120,14 +121,33 @@ def category_performance(
 
 
 def product_summary(raw: Mapping[str, DataFrame], now: dt.datetime, days: int = 30) -> DataFrame:
-    """One row of totals over the recent lines whose product exists."""
+    """One row of totals over the recent lines whose product exists.
+
+    Lines fold per product before they meet the products, so a best seller is one row per task there;
+    orders are counted apart, from distinct (order, product) pairs.
+    """
     lines = _recent_shopify_lines(raw, now - dt.timedelta(days=days))
-    return lines.join(_products(raw), "product_id").agg(
-        F.count_distinct("product_id").alias("total_products"),
-        F.count_distinct("order_id").alias("orders_with_products"),
-        zero_if_null(F.sum("quantity")).alias("total_units_sold"),
-        zero_if_null(F.sum("amount")).alias("total_revenue"),
-        zero_if_null(exact_avg(F.col("amount"))).alias("avg_item_value"),
+    per_product = (
+        lines.groupBy("product_id")
+        .agg(F.sum("quantity").alias("units"), F.sum("amount").alias("revenue"), F.count("amount").alias("valued"))
+        .join(_products(raw), "product_id", "left_semi")
+        .select(F.lit(1).alias("product"), F.lit(0).alias("order"), "units", "revenue", "valued")
+    )
+    per_order = (
+        lines.select("order_id", "product_id")
+        .distinct()
+        .join(_products(raw), "product_id", "left_semi")
+        .select("order_id")
+        .distinct()
+        .select(F.lit(0).alias("product"), F.lit(1).alias("order"))
+    )
+    average = F.sum("revenue").cast("double") / F.nullif(F.sum("valued"), F.lit(0))
+    return per_product.unionByName(per_order, allowMissingColumns=True).agg(
+        zero_if_null(F.sum("product")).alias("total_products"),
+        zero_if_null(F.sum("order")).alias("orders_with_products"),
+        zero_if_null(F.sum("units")).alias("total_units_sold"),
+        zero_if_null(F.sum("revenue")).alias("total_revenue"),
+        zero_if_null(average).alias("avg_item_value"),
         F.lit(days).alias("period_days"),
         F.lit("shopify").alias("platform"),
     )
@@ -136,7 +156,7 @@ def product_summary(raw: Mapping[str, DataFrame], now: dt.datetime, days: int =
 def _marketplace_lines(raw: Mapping[str, DataFrame], platform: str) -> DataFrame:
     """Lines of a marketplace as (order key, name, sku, units, revenue, price)."""
     if platform == "amazon":
-        amount = F.get_json_object("item_price", "$.Amount").cast(MONEY)
+        amount = F.get_json_object("item_price", "$.Amount").cast(PAYLOAD_MONEY)
         return raw["amazon_order_items"].select(
             F.col("amazon_order_id").alias("order_key"),
             F.col("title").alias("name"),

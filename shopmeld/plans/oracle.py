@@ -384,7 +384,7 @@ REVENUE_KINDS = _kinds(
 # Amount, discount, buyer and time of a raw order, per platform.
 AMOUNT = {
     "shopify": "total_price",
-    "amazon": "CAST(order_total->>'$.Amount' AS DECIMAL(12,2))",
+    "amazon": "CAST(order_total->>'$.Amount' AS DECIMAL(20,6))",
     "lazada": "price",
     "shopee": "total_amount",
 }
@@ -410,7 +410,7 @@ _SHOPIFY_LINES = f"""raw_shopify_order_line_items li
 
 def _market_lines(platform: str) -> tuple[str, str, str, str, str, str]:
     """Name, SKU, units, revenue, price and order key of a marketplace line."""
-    amount = "CAST(li.item_price->>'$.Amount' AS DECIMAL(12,2))"
+    amount = "CAST(li.item_price->>'$.Amount' AS DECIMAL(20,6))"
     return {
         "amazon": ("li.title", "li.seller_sku", "li.quantity_ordered", amount, amount, "amazon_order_id"),
         "lazada": ("li.name", "li.sku", "1", "li.paid_price", "li.paid_price", "order_id"),
@@ -528,18 +528,31 @@ def _place(platform: str, city: bool) -> str:
         ORDER BY SUM({amount}) DESC NULLS FIRST, {group} LIMIT 20"""
 
 
+def _leader(platform: str, city: bool) -> str:
+    """The first place straight from the raw rows: one without any amount wins."""
+    if platform not in ("shopify", "amazon"):
+        return f"SELECT {'city' if city else 'country'} FROM {'cities' if city else 'countries'}_{platform}"
+    table, address, keys, amount = {
+        "shopify": ("raw_shopify_customers", "default_address", ("city", "country"), "total_spent"),
+        "amazon": ("raw_amazon_orders", "shipping_address", ("City", "CountryCode"), AMOUNT["amazon"]),
+    }[platform]
+    town, land = (f"COALESCE({address}->>'$.{key}', 'Unknown')" for key in keys)
+    group = f"{town}, {land}" if city else land
+    return f"""SELECT {town if city else land} FROM {table} WHERE {address} IS NOT NULL GROUP BY {group}
+        ORDER BY COUNT({amount}) > 0, SUM({amount}) DESC, {group} LIMIT 1"""
+
+
 for _platform in PLATFORMS:
     RELATIONS[f"countries_{_platform}"] = _place(_platform, city=False)
     RELATIONS[f"cities_{_platform}"] = _place(_platform, city=True)
 
 
 def _location_summary(platform: str) -> str:
-    first = "ORDER BY total_revenue DESC"
     return f"""
         SELECT (SELECT COUNT(*) FROM countries_{platform}) AS total_countries,
             (SELECT COUNT(*) FROM cities_{platform}) AS total_cities,
-            COALESCE((SELECT country FROM countries_{platform} {first}, country LIMIT 1), 'N/A') AS top_country,
-            COALESCE((SELECT city FROM cities_{platform} {first}, city, country LIMIT 1), 'N/A') AS top_city,
+            COALESCE(({_leader(platform, city=False)}), 'N/A') AS top_country,
+            COALESCE(({_leader(platform, city=True)}), 'N/A') AS top_city,
             '{platform}' AS platform"""
 
 
@@ -945,6 +958,14 @@ def queries() -> dict[str, str]:
     sql["live_daily_revenue"] = f"""
         SELECT order_date, platform, COUNT(*) AS orders, {_dbl("SUM(total_amount_usd)")} AS revenue_usd
         FROM int_unified_orders WHERE NOT is_cancelled GROUP BY order_date, platform"""
+    sql["upsert_items"] = f"""
+        SELECT order_item_id, order_id, product_id, name, variation, sku, {_dbl("paid_price")} AS paid_price,
+            {_dbl("voucher_amount")} AS voucher_amount,
+            CASE WHEN status = 'delivered' THEN 'returned' ELSE status END AS status
+        FROM (SELECT *, row_number() OVER (PARTITION BY order_item_id ORDER BY status = 'delivered' DESC,
+                order_id DESC, product_id DESC, name DESC, sku DESC, paid_price DESC) AS nth
+            FROM raw_lazada_order_items)
+        WHERE nth = 1"""
     sql["upsert_raw"] = f"""
         SELECT id, updated_at + CASE WHEN financial_status = 'pending' THEN INTERVAL 1 DAY
                 ELSE INTERVAL 0 DAY END AS updated_at,

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shopmeld import config
 from shopmeld.operators import marts
@@ -98,6 +101,33 @@ def write_model(
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+PUBLISHED = "number long, run string, models array<string>"
+
+
+def _publications(spark: SparkSession, warehouse: str) -> list:
+    """(model, run, number) of the newest complete run of each model; few rows, one per model."""
+    try:
+        runs = spark.read.schema(PUBLISHED).parquet(f"{warehouse}/published")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    newest = F.max(F.struct("number", "run")).alias("newest")
+    return runs.select("number", "run", F.explode("models").alias("model")).groupBy("model").agg(newest).select("model", "newest.*").collect()
+
+
+def published_marts(spark: SparkSession, warehouse: str) -> dict[str, DataFrame]:
+    """The stored marts as last published: each from the newest run that was written to its end."""
+    return {r.model: spark.read.parquet(f"{warehouse}/runs/{r.run}/{r.model}") for r in _publications(spark, warehouse)}
+
+
+def _publish(spark: SparkSession, warehouse: str, run: str, models: Sequence[str]) -> None:
+    """Announce a run whose marts are all written; runs are to be published one after the other."""
+    number = 1 + max((r.number for r in _publications(spark, warehouse)), default=0)
+    row = spark.createDataFrame([(number, run, list(models))], PUBLISHED)
+    row.coalesce(1).write.mode("append").parquet(f"{warehouse}/published")
+
+
 def save_bucketed(df: DataFrame, table: str, buckets: int) -> DataFrame:
     """Store orders or items bucketed and sorted by order, so joins of the two need no shuffle.
 
@@ -127,23 +157,28 @@ def run_models(
     """Build the selected models; returns them by name in build order.
 
     Staging and intermediate models are views. With a `warehouse` directory the selected marts are
-    written there and the stored copies returned. The four marts read few columns of the orders
+    written below a folder of this run and the stored copies returned; only when all are written is the
+    run published, so `published_marts` shows a complete run at any time and keeps the former one when a
+    mart fails. Older run folders can be removed when nobody reads them any more. The four marts read few columns of the orders
     each, so by default each prunes its own scan; `store_intermediate` writes the canonical
     relations once, partitioned by platform, when parsing the raw JSON costs more than that write.
     """
     names = selected_models(select)
     models = Models(raw, as_of)
+    run = uuid.uuid4().hex
     if warehouse and store_intermediate:
         needed = ["int_unified_orders"]
         if {"int_unified_order_items", "kpi_product_performance"} & set(names):
             needed.append("int_unified_order_items")
         for name in needed:
-            stored = write_model(models[name], f"{warehouse}/intermediate", name, ["platform"])
+            stored = write_model(models[name], f"{warehouse}/runs/{run}", name, ["platform"])
             models.replace(name, stored)
     if warehouse:
-        for name in names:
-            if "marts" in MODEL_TAGS[name]:
-                models.replace(name, write_model(models[name], f"{warehouse}/marts", name))
+        stored_marts = [name for name in names if "marts" in MODEL_TAGS[name]]
+        for name in stored_marts:
+            models.replace(name, write_model(models[name], f"{warehouse}/runs/{run}", name))
+        if stored_marts:
+            _publish(models[stored_marts[0]].sparkSession, warehouse, run, stored_marts)
     built = {name: models[name] for name in names}
     register_views(built)
     return built

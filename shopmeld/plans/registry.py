@@ -28,6 +28,7 @@ from shopmeld.operators import (
 from shopmeld.operators.intermediate import order_items_of, orders_of, with_platform_info
 from shopmeld.operators.staging import STAGING, stage
 from shopmeld.plans import pipeline
+from shopmeld.schemas import RAW_SCHEMAS
 from shopmeld.sources.fixture import DerivedRawTables
 from shopmeld.sources.raw import platform_mappings
 from shopmeld.streaming import landing, live
@@ -215,6 +216,22 @@ def _upsert_raw(shop: Shop) -> DataFrame:
     )
 
 
+def _upsert_items(shop: Shop) -> DataFrame:
+    """All Lazada order lines land, then a second load returns some of them; the later batch wins.
+
+    The derived lines repeat ids; within a batch the largest row of an id stands.
+    """
+    table, target, checkpoint = "lazada_order_items", shop.new_folder(), shop.new_folder()
+    source = shop.new_folder()
+    lines = DerivedRawTables(shop.spark, shop.sf_dir)[table]
+    returned = lines.filter(F.col("status") == "delivered").withColumn("status", F.lit("returned"))
+    for load in (lines, returned):
+        load.write.mode("append").parquet(source)
+        stream = shop.spark.readStream.schema(RAW_SCHEMAS[table]).parquet(source)
+        landing.upsert_raw(stream, target, table, checkpoint).awaitTermination()
+    return landing.current_rows(shop.spark, target, table)
+
+
 def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
     found: dict[str, Callable[[Shop], DataFrame]] = {}
     for name in STAGING:
@@ -274,6 +291,7 @@ def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
         "stored_marts": _stored_marts,
         "live_daily_revenue": _live_daily_revenue,
         "upsert_raw": _upsert_raw,
+        "upsert_items": _upsert_items,
     }
     per_platform: dict[str, Callable[[Shop, str], DataFrame]] = {
         "top_products": lambda s, p: products.top_products(s.raw, NOW, p),
@@ -283,7 +301,7 @@ def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
         "by_country": lambda s, p: locations.by_country(s.raw, p),
         "by_city": lambda s, p: locations.by_city(s.raw, p),
         "location_summary": lambda s, p: locations.location_summary(
-            locations.by_country(s.raw, p), locations.by_city(s.raw, p), p
+            locations.by_country(s.raw, p, ranked=True), locations.by_city(s.raw, p, ranked=True), p
         ),
         "platform_profitability": lambda s, p: profitability.platform_profitability(s.raw, NOW, p),
         "platform_profitability_daily": lambda s, p: profitability.platform_profitability_daily(

@@ -49,14 +49,21 @@ RAW_SCHEMAS: dict[str, str] = {
     "shopee_products": "item_id BIGINT, item_name STRING, item_sku STRING",
 }
 
-# Primary key and last-change column of each raw table that has both.
-RAW_KEYS: dict[str, tuple[str, str]] = {
+# Primary key of each raw table and its last-change column, where it has one.
+RAW_KEYS: dict[str, tuple[str, str | None]] = {
     "shopify_customers": ("id", "updated_at"),
     "shopify_products": ("id", "updated_at"),
     "shopify_orders": ("id", "updated_at"),
     "amazon_orders": ("amazon_order_id", "last_update_date"),
     "lazada_orders": ("order_id", "updated_at"),
     "shopee_orders": ("order_sn", "update_time"),
+    "shopify_order_line_items": ("id", None),
+    "amazon_order_items": ("order_item_id", None),
+    "lazada_order_items": ("order_item_id", None),
+    "shopee_order_items": ("id", None),
+    "amazon_catalog_items": ("asin", None),
+    "lazada_products": ("item_id", None),
+    "shopee_products": ("item_id", None),
 }
 
 ORDER_COLUMNS = (

@@ -257,7 +257,7 @@ DERIVED: dict[str, tuple[str, str | None, dict[str, str]]] = {
                 "then 'SHIPPED' when '3-MEDIUM' then 'READY_TO_SHIP' when '4-NOT "
                 "SPECIFIED' then 'UNPAID' else 'CANCELLED' end"
             ),
-            "cancel_reason": "case when o_orderpriority = '5-LOW' then 'Buyer request' end",
+            "cancel_reason": "case when o_orderpriority = '5-LOW' then 'changed their mind' end",
             "message_to_seller": "cast(null as varchar(20))",
         },
     ),

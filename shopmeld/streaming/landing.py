@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,14 +12,14 @@ from shopmeld.schemas import RAW_KEYS, RAW_SCHEMAS
 BATCH = "_batch"
 
 
-def latest_per_key(df: DataFrame, key: str, changed: str) -> DataFrame:
-    """The version of each row that changed last.
+def latest_per_key(df: DataFrame, key: str, changed: str | None) -> DataFrame:
+    """The version of each row that changed last; without a change column, or at equal times, the largest row.
 
     A maximum over whole rows folds the versions of a key before the shuffle, which a window
     would not; a key with very many versions thus costs one row per task.
     """
     rest = [name for name in df.columns if name not in (key, changed)]
-    newest = F.max(F.struct(changed, *rest)).alias("_row")
+    newest = F.max(F.struct(*([changed] if changed else []), *rest)).alias("_row")
     return df.groupBy(key).agg(newest).select(key, "_row.*").select(*df.columns)
 
 
@@ -42,12 +43,16 @@ def upsert_raw(
 
 
 def current_rows(spark: SparkSession, target: str, table: str) -> DataFrame:
-    """The raw table as landed so far: the latest version per key over all batches."""
+    """The raw table as landed so far: the latest version per key over all batches.
+
+    A batch holds a key once, so change time and batch name a version (the batch alone where a table
+    has no change column). Only these, the key and the columns asked for are read.
+    """
     key, changed = RAW_KEYS[table]
     landed = spark.read.schema(f"{RAW_SCHEMAS[table]}, {BATCH} INT").parquet(f"{target}/{table}")
     columns = [name for name in landed.columns if name != BATCH]
-    version = F.struct(F.col(changed).alias("_changed"), BATCH, F.struct(*columns).alias("_row"))
-    return landed.groupBy(key).agg(F.max(version).alias("_newest")).select("_newest._row.*")
+    newest = W.partitionBy(key).orderBy(*([F.desc(changed)] if changed else []), F.desc(BATCH))
+    return landed.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1").select(*columns)
 
 
 def compact(spark: SparkSession, target: str, table: str, new_target: str) -> None:

@@ -134,9 +134,9 @@ def test_places(raw):
     assert [(r.country, r.customer_count) for r in locations.by_country(raw).collect()] == [("IT", 1), ("Unknown", 1)]
     assert [(r.city, r.country) for r in locations.by_city(raw, "amazon").collect()] == [("Rome", "IT"), ("Unknown", "Unknown")]
     assert locations.by_country(raw, "shopee").first().country == "Southeast Asia"
-    summary = locations.location_summary(locations.by_country(raw), locations.by_city(raw), "shopify").first()
+    summary = locations.location_summary(locations.by_country(raw, ranked=True), locations.by_city(raw, ranked=True), "shopify").first()
     assert tuple(summary) == (2, 2, "IT", "Rome", "shopify")
-    nothing = locations.by_country(raw).filter("false"), locations.by_city(raw).filter("false")
+    nothing = locations.by_country(raw, ranked=True).filter("false"), locations.by_city(raw, ranked=True).filter("false")
     assert tuple(locations.location_summary(*nothing, "shopify").first()) == (0, 0, "N/A", "N/A", "shopify")
 
 
@@ -172,3 +172,19 @@ def test_periods_across_a_year():
 def test_unknown_platform(raw):
     with pytest.raises(ValueError):
         locations.by_city(raw, "ebay")
+
+
+def test_place_without_amounts_leads_and_amounts_are_not_rounded(raw_rows):
+    customers_raw = raw_rows(
+        "shopify_customers",
+        {"id": 1, "default_address": '{"city": "A", "country": "AA"}'},
+        {"id": 2, "default_address": '{"city": "B", "country": "BB"}', "total_spent": D("5")},
+    )
+    orders = raw_rows(
+        "amazon_orders",
+        *({"amazon_order_id": x, "order_total": '{"Amount": "10.005"}', "shipping_address": '{"CountryCode": "IT"}'} for x in "ab"),
+    )
+    raw = {"shopify_customers": customers_raw, "amazon_orders": orders}
+    listings = locations.by_country(raw, ranked=True), locations.by_city(raw, ranked=True)
+    assert locations.location_summary(*listings, "shopify").first()[2:4] == ("AA", "A")
+    assert locations.by_country(raw, "amazon").first().total_revenue == D("20.01")

@@ -175,3 +175,52 @@ def test_latest_per_key_prefers_newest_of_many_copies(spark):
     )
     rows = {r.id: r.changed for r in landing.latest_per_key(df, "id", "changed").collect()}
     assert rows[1] == 4998 and len(rows) == df.select("id").distinct().count()
+
+
+def test_item_tables_land_by_batch(spark, raw_rows, tmp_path):
+    source, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    table = "shopee_order_items"
+
+    def load(*rows):
+        raw_rows(table, *rows).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(RAW_SCHEMAS[table]).parquet(source)
+        landing.upsert_raw(stream, target, table, checkpoint).awaitTermination()
+        return {r.id: r.item_name for r in landing.current_rows(spark, target, table).collect()}
+
+    assert load({"id": 1, "item_name": "z"}, {"id": 2, "item_name": "b"}) == {1: "z", 2: "b"}
+    assert load({"id": 1, "item_name": "a"}) == {1: "a", 2: "b"}
+    assert set(landing.RAW_KEYS) == set(RAW_SCHEMAS)
+
+
+def test_current_rows_read_only_what_is_asked(spark, raw_rows, tmp_path):
+    target = str(tmp_path)
+    raw_rows("shopify_orders", {"id": 1}).write.parquet(f"{target}/shopify_orders/_batch=0")
+    rows = landing.current_rows(spark, target, "shopify_orders").select("id", "total_price")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint,updated_at:timestamp_ntz,total_price:decimal(12,2)>" in plan
+
+
+def test_a_failed_run_keeps_the_published_one(spark, raw, tmp_path, monkeypatch):
+    warehouse = str(tmp_path)
+    assert pipeline.published_marts(spark, warehouse) == {}
+    pipeline.run_models(raw, AS_OF, warehouse=warehouse, select="marts")
+    before = {n: sorted(map(str, df.collect())) for n, df in pipeline.published_marts(spark, warehouse).items()}
+    assert set(before) == set(pipeline.selected_models("marts"))
+    write = pipeline.write_model
+
+    def fail_in_the_last(df, base, name, *rest):
+        if name == "kpi_product_performance":
+            raise OSError(name)
+        return write(df, base, name, *rest)
+
+    monkeypatch.setattr(pipeline, "write_model", fail_in_the_last)
+    with pytest.raises(OSError):
+        pipeline.run_models(raw, AS_OF, warehouse=warehouse, select="marts")
+    after = {n: sorted(map(str, df.collect())) for n, df in pipeline.published_marts(spark, warehouse).items()}
+    assert after == before
+    monkeypatch.undo()
+    pipeline.run_models(raw, day("2024-06-29"), warehouse=warehouse, select="revenue")
+    newest = pipeline.published_marts(spark, warehouse)
+    assert set(newest) == set(before)
+    stamps = {n: df.first()["_generated_at"] for n, df in newest.items()}
+    assert stamps["kpi_revenue_summary"] > stamps["kpi_platform_overview"]

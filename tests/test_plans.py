@@ -107,3 +107,8 @@ def test_platform_lookup_never_shuffles_orders(spark, raw):
 def test_top_lists_do_not_sort_everything(raw):
     assert "TakeOrderedAndProject" in plan(products.top_products(raw, NOW))
     assert "TakeOrderedAndProject" in plan(customers.top_customers(raw, "amazon"))
+
+
+def test_product_summary_folds_before_the_products(raw, no_broadcast):
+    text = plan(products.product_summary(raw, NOW))
+    assert "Expand" not in text and "CartesianProduct" not in text and "NestedLoop" not in text
