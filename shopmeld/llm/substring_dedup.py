@@ -207,13 +207,14 @@ def _anchor_rows(length: int):
 
 
 def _range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Hash of data[start:stop] and of where the anchor lies in it."""
+    """Hash of data[start:stop] and of where the anchor lies in it; of nothing else, so not of len(data)."""
     base = odd_numbers(1, 22)[0]
     powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(data), base, np.uint64), dtype=np.uint64)])
     sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(data.astype(np.uint64) + np.uint64(7)) * powers[:-1], dtype=np.uint64)])
-    # multiply up instead of dividing: the same bytes at different places get the same value
-    lift = powers[len(data) - start]
-    return mix((sums[stop] - sums[start]) * lift) ^ mix(((stop - start) << 20).astype(np.uint64) + (place - start).astype(np.uint64))
+    # an odd base has an inverse modulo 2^64: its powers bring bytes at any place down to place 0
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(int(start.max(initial=0)), inverse, np.uint64), dtype=np.uint64)])
+    return mix((sums[stop] - sums[start]) * down[start]) ^ mix(((stop - start) << 20).astype(np.uint64) + (place - start).astype(np.uint64))
 
 
 def _shard(length: int):

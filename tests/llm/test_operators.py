@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,7 +18,7 @@ from shopmeld.llm.html_text import labelled_pages, main_text, parse, trained
 from shopmeld.llm.language import known_language, language_id
 from shopmeld.llm.licenses import license_scan
 from shopmeld.llm.packing import best_fit_decreasing, lower_bound, packed
-from shopmeld.llm.substring_dedup import common_prefixes, repeated_bytes, repeated_starts, shared_ranges, suffix_array
+from shopmeld.llm.substring_dedup import _anchor_rows, common_prefixes, repeated_bytes, repeated_starts, shared_ranges, suffix_array
 from shopmeld.llm.token_files import Shard, token_round_trip, write_tokens
 from shopmeld.llm.tokens import Encoder, public_file
 from shopmeld.llm.warc import byte_ranges, read_warc, warc_round_trip, write_warc
@@ -147,6 +148,21 @@ def test_repeated_starts_equal_brute_force(letters):
             assert weights[k] > 1 or not len(at) or (first[k] <= at[0] and at[-1] <= last[k])
 
 
+def test_context_hash_is_the_same_in_texts_of_any_length():
+    rng = np.random.default_rng(5)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes()
+    passage = letters(700)
+    texts = [letters(a) + passage + letters(b) for a, b in ((0, 0), (40, 3), (3, 900), (1200, 77))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.decode() for t in texts])], ["_doc", "_text"])
+    values = {}
+    for r in pa.Table.from_batches(_anchor_rows(200)(iter([batch]))).to_pylist():
+        part = texts[r["_doc"]][r["_first"] : r["_last"] + 200]
+        values.setdefault((r["_h"], part), []).append(r["_context"])
+    assert max(map(len, values.values())) == len(texts)
+    assert all(len(set(v)) == 1 for v in values.values())
+    assert len({v[0] for v in values.values()}) == len(values)
+
+
 def test_encoder_equals_library():
     tricky = ["a \n b", " x", "\n\nfoo\n bar\n", "a\n\n b  c\tq", "", "  ", "don't\nDo  9", "中文 中\n <|endoftext|> a\r\nb \x1c c \x01 d", LONG]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
