@@ -10,9 +10,10 @@ anchor hash.
 A shard cuts its contexts to the part whose strings have hashes met in other contexts (the rest cannot be
 equal to anything), sorts their suffixes by prefix doubling that only refines groups still equal
 (Larsson and Sadakane), takes common prefixes of neighbours (Kasai), and so finds which strings start more
-than once. Equal strings always share a shard, so no merge across shards is needed; the price is that a hash
-with very many different contexts stays in one shard (see the README). The strings found repeated are mapped
-back to their documents.
+than once. Equal strings have equal anchor hashes, so shards of different hashes need no merge. A hash whose
+contexts exceed a shard is split into parts: each has a suffix array of its own, and strings common to two
+parts are found by binary search of the one's strings among the other's sorted suffixes. The strings found
+repeated are mapped back to their documents.
 """
 
 from __future__ import annotations
@@ -155,8 +156,9 @@ def shared_ranges(contexts: list[bytes], weights: np.ndarray, length: int = LENG
     return np.where(last < 0, -1, first), last
 
 
-def repeated_starts(contexts: list[bytes], weights: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each context, which of its strings start more than once, counting each context `weights` times."""
+def sorted_strings(contexts: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The contexts' bytes, where each begins (one more for the end), the context of each byte, the starts of
+    all whole strings in the order of the suffix array, and for each of these the number of its kind of string."""
     sizes = np.array([len(c) for c in contexts])
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.concatenate([[0], np.cumsum(sizes)])
@@ -165,14 +167,65 @@ def repeated_starts(contexts: list[bytes], weights: np.ndarray, length: int = LE
     order, _ = suffix_array(data, length)
     shared = common_prefixes(data, order, length)
     whole_at = np.flatnonzero(room[order] >= length)
-    starts = order[whole_at]
     alike = np.minimum.reduceat(shared[: whole_at[-1] + 1], np.concatenate([[0], whole_at[:-1] + 1])) >= length
     alike[0] = False
-    group = np.cumsum(~alike) - 1
+    return data, begin, owner, order[whole_at], np.cumsum(~alike) - 1
+
+
+def _by_context(flags: np.ndarray, begin: np.ndarray, length: int) -> list[np.ndarray]:
+    return [flags[x : y - length + 1] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def repeated_starts(contexts: list[bytes], weights: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+    """For each context, which of its strings start more than once, counting each context `weights` times."""
+    data, begin, owner, starts, group = sorted_strings(contexts, length)
     total = np.bincount(group, weights[owner[starts]])
     flags = np.zeros(len(data), bool)
     flags[starts] = total[group] > 1
-    return [flags[x : y - length + 1] for x, y in zip(begin[:-1], begin[1:], strict=True)]
+    return _by_context(flags, begin, length)
+
+
+def find_strings(data: np.ndarray, at: np.ndarray, other: np.ndarray, heads: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of the strings of `data` at `at` among those of `other` at `heads`, which are distinct and
+    in order: the place of the first that is not smaller, and whether it is the same string."""
+    mine, theirs = eight_bytes(data), eight_bytes(other)
+    offsets = sorted({*range(0, length - 7, 8), length - 8})
+
+    def compare(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1: the string at b is smaller than, the same as or greater than the one at a."""
+        sign, live = np.zeros(len(a), np.int8), np.arange(len(a))
+        for k in offsets:
+            x, y = mine[a[live] + k], theirs[b[live] + k]
+            sign[live] = (y > x).astype(np.int8) - (y < x)
+            live = live[x == y]
+            if not len(live):
+                break
+        return sign
+
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(heads))
+    while len(live := np.flatnonzero(low < high)):
+        middle = (low[live] + high[live]) // 2
+        smaller = compare(at[live], heads[middle]) < 0
+        low[live] = np.where(smaller, middle + 1, low[live])
+        high[live] = np.where(smaller, high[live], middle)
+    same = low < len(heads)
+    same[same] = compare(at[same], heads[low[same]]) == 0
+    return low, same
+
+
+def common_starts(ours: list[bytes], theirs: list[bytes], length: int = LENGTH) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each context of either side, which of its strings occur on the other side too."""
+    other, their_begin, _, starts, group = sorted_strings(theirs, length)
+    heads = starts[np.flatnonzero(np.diff(group, prepend=-1))]
+    data = np.frombuffer(b"".join(ours), np.uint8)
+    begin = np.concatenate([[0], np.cumsum([len(c) for c in ours])])
+    at = np.concatenate([np.arange(x, y - length + 1) for x, y in zip(begin[:-1], begin[1:], strict=True)])
+    place, same = find_strings(data, at, other, heads, length)
+    flags, their_flags, met = np.zeros(len(data), bool), np.zeros(len(other), bool), np.zeros(len(heads), bool)
+    flags[at] = same
+    met[place[same]] = True
+    their_flags[starts] = met[group]
+    return _by_context(flags, begin, length), _by_context(their_flags, their_begin, length)
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,14 +271,21 @@ def _range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray, place:
 
 
 def _shard(length: int):
+    """Repeated strings of a shard's contexts; of two parts of a split hash, the strings that they share."""
+
     def find(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["_h", "_context"])
+        items = items.sort_values(["_part", "_h", "_context"])
         first, last = shared_ranges(list(items["_bytes"]), items["_n"].to_numpy(), length)
         items = items.assign(_first=first, _last=last)[last >= 0]
+        merge = (items["_i"] != items["_j"]).any()
+        ours = int((items["_part"] == items["_i"]).sum())
         out = []
-        if len(items):
+        if len(items) and not (merge and ours in (0, len(items))):
             cut = [c[a : b + length] for c, a, b in zip(items["_bytes"], items["_first"], items["_last"], strict=True)]
-            found = repeated_starts(cut, items["_n"].to_numpy(), length)
+            if merge:
+                found = sum(common_starts(cut[:ours], cut[ours:], length), [])
+            else:
+                found = repeated_starts(cut, items["_n"].to_numpy(), length)
             for h, context, skip, flags in zip(items["_h"], items["_context"], items["_first"], found, strict=True):
                 out += [(h, context, skip + a, skip + b) for a, b in zip(*runs(flags), strict=True)]
         return pd.DataFrame(out, columns=["_h", "_context", "_from", "_to"]).astype("int64")
@@ -233,6 +293,29 @@ def _shard(length: int):
     return find
 
 
+def _dealt(contexts: DataFrame, sizes: DataFrame, shards: int, shard_bytes: int) -> DataFrame:
+    """Contexts with their shard: _shard, _split, _i, _j. sizes: _h, _size.
+
+    Hashes of up to shard_bytes go whole to a shard. The contexts of a larger one are dealt to parts; each part
+    is a shard (_i = _j) and each two parts are one, where the strings common to both are found.
+    """
+    large = sizes.where(F.col("_size") > shard_bytes).select("_h", F.ceil(F.col("_size") / shard_bytes).cast("int").alias("_parts"))
+    part = F.pmod(F.xxhash64("_context"), F.col("_parts")).cast("int")
+    # fewer rows than shards: bytes / shard_bytes at most
+    placed = contexts.join(F.broadcast(large), "_h", "left").withColumn("_part", F.coalesce(part, F.lit(0)))
+    others = F.transform(
+        F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1),
+        lambda q: F.struct(F.least("_part", q).alias("_i"), F.greatest("_part", q).alias("_j")),
+    )
+    split = F.col("_parts").isNotNull()
+    return placed.select(
+        "_h", "_context", "_n", "_bytes", "_part",
+        F.when(split, -1).otherwise(F.pmod(F.xxhash64("_h"), F.lit(shards))).alias("_shard"),
+        F.when(split, F.col("_h")).otherwise(0).alias("_split"),
+        F.inline(others),
+    )
+
+
 def _cut(length: int):
     """Batches of (_doc, _text, _n, _marks) -> what is removed of each text and what stays."""
 
@@ -295,13 +378,16 @@ def repeated_bytes(
     contexts = stored(
         met.join(texts.select("_doc", "_text"), "_doc").select("_h", "_context", "_n", part.alias("_bytes")), "substring-contexts"
     )
-    n_bytes = contexts.agg(F.sum(F.length("_bytes"))).first()[0] or 0
-    shards = max(1, -(-n_bytes // shard_bytes))
+    sizes = met.groupBy("_h").agg(F.sum(F.col("_last") - F.col("_first") + length).alias("_size"))
+    n_bytes, n_split = sizes.agg(F.sum("_size"), F.count_if(F.col("_size") > shard_bytes)).first()
+    shards = max(1, -(-(n_bytes or 0) // shard_bytes))
     found = (
-        contexts.withColumn("_shard", F.pmod(F.xxhash64("_h"), F.lit(shards)))
-        .groupBy("_shard")
+        _dealt(contexts, sizes, shards, shard_bytes)
+        .groupBy("_shard", "_split", "_i", "_j")
         .applyInPandas(_shard(length), "_h bigint, _context bigint, _from bigint, _to bigint")
     )
+    if n_split:
+        found = found.distinct()  # several parts may find the same strings of a context
     single = shared.where("_n = 1 and _kinds > 1").select("_h", "_context")
     whole_runs = shared.where("_n > 1").select(
         "_h", "_context", F.lit(0).cast("long").alias("_from"), (F.col("_last") - F.col("_first")).cast("long").alias("_to")

@@ -11,14 +11,14 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shopmeld.llm import exact_dedup, near_dedup
+from shopmeld.llm import exact_dedup, near_dedup, substring_dedup
 from shopmeld.llm.common import scratch
 from shopmeld.llm.decontamination import contamination, decontaminate
 from shopmeld.llm.html_text import labelled_pages, main_text, parse, trained
 from shopmeld.llm.language import known_language, language_id
 from shopmeld.llm.licenses import license_scan
 from shopmeld.llm.packing import best_fit_decreasing, lower_bound, packed
-from shopmeld.llm.substring_dedup import _anchor_rows, common_prefixes, repeated_bytes, repeated_starts, shared_ranges, suffix_array
+from shopmeld.llm.substring_dedup import _anchor_rows, common_prefixes, common_starts, repeated_bytes, repeated_starts, shared_ranges, suffix_array
 from shopmeld.llm.token_files import Shard, token_round_trip, write_tokens
 from shopmeld.llm.tokens import Encoder, public_file
 from shopmeld.llm.warc import byte_ranges, read_warc, warc_round_trip, write_warc
@@ -163,6 +163,44 @@ def test_context_hash_is_the_same_in_texts_of_any_length():
     assert len({v[0] for v in values.values()}) == len(values)
 
 
+@pytest.mark.parametrize("letters", [2, 13])
+def test_common_starts_equal_brute_force(letters):
+    rng = np.random.default_rng(letters)
+    for length in (200, 203):
+        base = rng.integers(97, 97 + letters, 500).astype(np.uint8).tobytes()
+        sides = []
+        for _ in range(2):
+            parts = [bytearray(base[x : x + length + rng.integers(0, 20)]) for x in rng.integers(0, 270, 9)]
+            for part in parts[:6]:
+                part[rng.integers(0, len(part))] = rng.integers(0, 256)
+            sides.append([bytes(x) for x in parts])
+        own = [{c[i : i + length] for c in side for i in range(len(c) - length + 1)} for side in sides]
+        for side, met, flags in zip(sides, own[::-1], common_starts(*sides, length), strict=True):
+            assert [f.tolist() for f in flags] == [[c[i : i + length] in met for i in range(len(c) - length + 1)] for c in side]
+
+
+def test_contexts_of_a_frequent_seed_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    line, near = letters(60), [letters(150) for _ in range(8)]
+    texts = [near[rng.integers(8)] + line + near[rng.integers(8)] + letters(rng.integers(0, 90)) for _ in range(120)]
+    texts += [letters(300) + line + letters(300) for _ in range(40)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    dealt = []
+    monkeypatch.setattr(substring_dedup, "_dealt", lambda *a, f=substring_dedup._dealt: dealt.append(f(*a)) or dealt[-1])
+    got = {r.doc_id: r for r in repeated_bytes(table, shard_bytes=4000).collect()}
+    seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    for k, t in enumerate(texts):
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if seen[t[i : i + 200]] > 1:
+                gone[i : i + 200] = True
+        assert (got[k].n_removed, got[k].kept) == (gone.sum(), np.frombuffer(t.encode(), np.uint8)[~gone].tobytes())
+    # no shard holds many times shard_bytes although all texts have the seed
+    groups = dealt[0].groupBy("_shard", "_split", "_i", "_j").agg(F.sum(F.length("_bytes")).alias("n"))
+    assert groups.where("_i < _j").count() > 0 and groups.agg(F.max("n")).first()[0] < 4 * 4000
+
+
 def test_encoder_equals_library():
     tricky = ["a \n b", " x", "\n\nfoo\n bar\n", "a\n\n b  c\tq", "", "  ", "don't\nDo  9", "中文 中\n <|endoftext|> a\r\nb \x1c c \x01 d", LONG]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
