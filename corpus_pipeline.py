@@ -13,7 +13,7 @@ from shopmeld.llm.tokens import public_file
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of which no learnt language fills half, go."""
+    """Documents without a letter, or of which learnt languages together do not fill half, go."""
     return known_language(docs)
 
 

@@ -5,6 +5,10 @@ sums trigram counts per language over all of them. A text is a mixture: expectat
 each language's share from the trigrams' likelihoods. The set of languages is chosen by penalised
 likelihood: starting from all, the language with the smallest share is dropped as long as that lowers
 -2 * log-likelihood + (languages - 1) * log(trigrams).
+
+Shares are of the learnt languages only. How much of a text is in them at all is a second mixture: the chosen
+languages, in their shares, against a background where every place is equally likely. Trigrams that no learnt
+language has are likelier there.
 """
 
 from __future__ import annotations
@@ -36,6 +40,10 @@ def _places(data: np.ndarray) -> np.ndarray:
     return (code * np.uint32(2654435761)) >> np.uint32(16)
 
 
+#: The place of a trigram without a letter.
+BLANK = int(_places(np.full(3, 32, np.uint8))[0])
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches of (_lang, _text) -> (_lang, _place, _n), summed per task."""
     sums: dict[str, np.ndarray] = {}
@@ -86,6 +94,25 @@ class LanguageModel:
             chosen = np.delete(chosen, np.argmin(shares))
         return {self.languages[c]: float(s) for c, s in zip(best[1], best[2], strict=True)}
 
+    def known(self, data: np.ndarray, shares: dict[str, float]) -> float:
+        """Share of a text's trigrams that comes from the mixture of languages, not from the background.
+
+        Trigrams without a letter are left out; without others the share is 0.
+        """
+        if len(data) < 3 or not shares:
+            return 0.0
+        places, n = np.unique(_places(data), return_counts=True)
+        n = np.where(places == BLANK, 0, n).astype(np.float64)
+        if not (total := n.sum()):
+            return 0.0
+        rows = [self.languages.index(x) for x in shares]
+        likely = np.array(list(shares.values())) @ self.table[np.ix_(rows, places)].astype(np.float64)
+        share = 0.5
+        for _ in range(ROUNDS):
+            own = share * likely
+            share = float(own / (own + (1 - share) / PLACES) @ n / total)
+        return share
+
 
 def fit(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text") -> LanguageModel:
     """A model from every row with a text and a language; other rows teach nothing."""
@@ -113,32 +140,36 @@ def _has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def _predict(shared):
+def _predict(shared, known: bool):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: LanguageModel = shared.value
         for batch in batches:
             column = batch.column("_text")
             data, ends = text_bytes(column)
-            found, score, second = [], [], []
+            found, score, second, learnt = [], [], [], []
             for start, stop in steps(ends):
                 for i in range(start, stop):
                     shares = model.mixture(data[ends[i] : ends[i + 1]]) if _has_letter(column[i].as_py()) else {}
                     if not shares and model.languages and _has_letter(column[i].as_py()):
                         shares = {model.languages[0]: 1 / len(model.languages)}  # too short for a trigram
+                    if known:
+                        learnt.append(model.known(data[ends[i] : ends[i + 1]], shares))
                     order = sorted(shares, key=lambda x: (-shares[x], x))
                     found.append(order[0] if order else UNKNOWN)
                     score.append(min(1.0, shares[order[0]]) if order else 0.0)
                     second.append(",".join(order))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string())],
-                ["_row", "_pred", "_score", "_langs"],
-            )
+            columns = [batch.column("_row"), pa.array(found, pa.string()), pa.array(score, pa.float64()), pa.array(second, pa.string())]
+            names = ["_row", "_pred", "_score", "_langs"]
+            if known:
+                columns, names = [*columns, pa.array(learnt, pa.float64())], [*names, "_known"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return predict
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") -> DataFrame:
-    """Per row: _row (the whole row), _pred, _score (share of _pred in the text), _langs (chosen, by share).
+def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", known: bool = False) -> DataFrame:
+    """Per row: _row (the whole row), _pred, _score (share of _pred in the text), _langs (chosen, by share);
+    if asked for, _known (share of the text in learnt languages).
 
     Null texts and texts without a letter are `und` with score 0. A text with letters but no trigram gets the
     first language at 1 / languages. Without any learnt language every text is `und`.
@@ -148,7 +179,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text") ->
     shared = spark.sparkContext.broadcast(model)  # at most MAX_LANGUAGES tables
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_column).alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(_predict(shared), f"_row {kind}, _pred string, _score double, _langs string")
+    more = ", _known double" if known else ""
+    return rows.mapInArrow(_predict(shared, known), f"_row {kind}, _pred string, _score double, _langs string{more}")
 
 
 def held_out(id_column: str | Column = "doc_id") -> Column:
@@ -174,8 +206,8 @@ def language_id(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def known_language(
     docs: DataFrame, least: float = 0.5, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang"
 ) -> DataFrame:
-    """The documents in a learnt language, with all their columns: not `und`, and one language fills at least
-    `least` of the text."""
+    """The documents in learnt languages, one or a mixture of several, with all their columns: not `und`, and
+    learnt languages together fill at least `least` of the text. Texts too short for a trigram show none."""
     model = fit(docs.where(~held_out(id_column)), lang_column, text_column)
-    kept = predict(docs, model, text_column).where((F.col("_pred") != UNKNOWN) & (F.col("_score") >= least))
+    kept = predict(docs, model, text_column, known=True).where((F.col("_pred") != UNKNOWN) & (F.col("_known") >= least))
     return kept.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

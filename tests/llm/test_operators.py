@@ -297,6 +297,25 @@ def test_languages(spark, docs, none):
     assert known_language(docs).columns == docs.columns
 
 
+def test_known_language_keeps_mixtures_and_rejects_other_scripts(spark):
+    said = {
+        "en": "the cat and the dog with that house and those children who were there ",
+        "fr": "le chat et le chien avec cette maison et les enfants qui jouent dehors ",
+        "de": "die katze und der hund mit diesem haus und den kindern die draussen spielen ",
+        "es": "el gato y el perro con aquella casa y los hijos que juegan afuera siempre ",
+    }
+    rows = [(i, said[x] * 8, x) for i in range(60) for x in [list(said)[i % 4]]]
+    other = {
+        1000: "кошка и собака живут в этом доме вместе с детьми которые играют во дворе " * 5,
+        1001: "η γάτα και ο σκύλος ζουν σε αυτό το σπίτι μαζί με τα παιδιά " * 5,
+        1002: "猫和狗与孩子们一起住在这所房子里他们在院子里玩耍" * 8,
+        1003: "12, 34. - 56: кошка и собака (78) 90, живут! " * 8,
+    }
+    mixed = {2000: said["en"] * 3 + said["fr"] * 3 + said["de"] * 3, 2001: "".join(said.values()) * 3}
+    table = spark.createDataFrame([*rows, *((k, v, None) for k, v in (other | mixed).items())], "doc_id bigint, text string, lang string")
+    assert {r.doc_id for r in known_language(table).collect()} == {r[0] for r in rows} | set(mixed)
+
+
 def test_html(spark):
     model = trained(60)
     page = "<html><body><nav><a>x</a></nav><article><h1>T &amp; U</h1><p>One <b>two\n three<br><p>four</p></article><footer>f</footer></body></html>"
