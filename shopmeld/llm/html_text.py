@@ -24,7 +24,7 @@ from .common import ship, whole
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|head|title|object|canvas)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I,
 )
@@ -32,7 +32,13 @@ NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: head holds void and skipped elements only; like in browsers, anything else in it belongs to the body.
+VOID = frozenset("area base br col embed head hr img input link meta param source track wbr".split())
+#: Elements whose inside is no text. One that is never closed loses its tag alone.
+DROPPED = frozenset("svg iframe select object canvas".split())
+DROPPED_START = re.compile("<(?:" + "|".join(sorted(DROPPED)) + r")\b", re.I)
+#: Lists of choices: their text lasts until the next tag.
+OPTIONS = frozenset("option optgroup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OWN_FEATURE = frozenset(
     "html body div section article main nav header footer aside form p li ul ol dl dt dd table tr td th blockquote pre figure figcaption button".split()
@@ -65,6 +71,31 @@ class Tree:
     marks: list[bool] = field(default_factory=list)  # of a training page: inside data-main
 
 
+def _dropped(tokens: list[re.Match[str]]) -> dict[int, int]:
+    """Start and end tag, as token numbers, of each closed element of DROPPED. The end of an element around
+    it ends an unclosed one, so that a later end tag is not taken for its own."""
+    opened: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    found = {}
+    for i, m in enumerate(tokens):
+        name = (m[3] or "").lower()
+        if not name or name in INLINE or name in VOID:
+            continue
+        if not m[2]:
+            if not m[4].endswith("/"):
+                opened.append((name, i))
+                count[name] = count.get(name, 0) + 1
+        elif count.get(name):
+            while True:
+                last, start = opened.pop()
+                count[last] -= 1
+                if last == name:
+                    break
+            if name in DROPPED:
+                found[start] = i
+    return found
+
+
 def parse(page: str) -> Tree:
     """The block tree of a page, with unclosed and misplaced tags put right as browsers do."""
     tree, stack, tags = Tree(), [0], ["#"]
@@ -83,9 +114,14 @@ def parse(page: str) -> Tree:
                 tree.blocks.append((stack[-1], text))
                 chars[stack[-1]] += len(text)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
+    at, past, hidden = 0, -1, False
+    tokens = list(TOKEN.finditer(page))
+    dropped = _dropped(tokens) if DROPPED_START.search(page) else {}
+    for i, m in enumerate(tokens):
+        if i <= past:
+            at = m.end()
+            continue
+        if m.start() > at and not hidden:
             raw = page[at : m.start()]
             held.append(raw)
             if links:
@@ -95,6 +131,10 @@ def parse(page: str) -> Tree:
         if name is None:
             continue
         name = name.lower()
+        hidden = name in OPTIONS and not m[2]
+        if name in DROPPED or name in OPTIONS:
+            past = dropped.get(i, past)
+            continue
         if name in INLINE:
             if name == "a":
                 links = 0 if m[2] else 1
@@ -132,7 +172,7 @@ def parse(page: str) -> Tree:
         linked.append(0)
         stack.append(node)
         tags.append(name)
-    if at < len(page):
+    if at < len(page) and not hidden:
         held.append(page[at:])
     flush()
     below, below_linked = chars[:], linked[:]

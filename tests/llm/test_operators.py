@@ -328,3 +328,26 @@ def test_html(spark):
     for v in range(1, len(content)):
         assert abs(edges[v][0][1] + edges[v][1][1] - content[v]) < 1e-9
     assert main_text(table.limit(0), model).count() == 0
+
+
+ARTICLE = "<article><h1>Title of it</h1><p>One two three.</p>{}<p>Four five six.</p></article>"
+
+
+def test_html_with_an_omitted_end_of_head():
+    want = "Title of it\nOne two three.\nFour five six."
+    model = trained(60)
+    for head in ("<head><title>T</title>", "<head><meta a=b><title>T</title><style>x</style></head>", "<HEAD><script>1</script><title>T</title>\n"):
+        for body in ("<body>", ""):
+            assert model.text(f"<html>{head}{body}{ARTICLE.format('')}<footer>f</footer>") == want
+
+
+@pytest.mark.parametrize("name", ["select", "object", "canvas", "svg", "iframe"])
+def test_html_with_unclosed_elements(name):
+    model = trained(60)
+    inside = "<option>Aa<option>Bb" if name == "select" else ""
+    want = model.text(f"<html><body>{ARTICLE.format('')}<footer>f</footer></body></html>")
+    for part in (f"<{name} id=x>{inside}", f"<{name}>{inside}No text</{name}>", f"<{name}>a<{name}>b</{name}>c</{name}>"):
+        assert model.text(f"<html><body>{ARTICLE.format(part)}<footer>f</footer></body></html>") == want
+    again = f"<html><body>{ARTICLE.format(f'<{name}>')}<form><{name}>no</{name}></form><footer>f</footer></{name}></body></html>"
+    assert model.text(again) == want
+    assert parse(f"<p>One <{name}>no</{name}>two").blocks[-1][1] == "One two"
