@@ -63,12 +63,19 @@ def _train(tokenizer: str, end_id: int, kind: str):
     return train
 
 
+def sample(docs: DataFrame) -> DataFrame:
+    """Parts (_text) of at most SAMPLE_DOCS documents, at every size those of the smallest hashes, each from a
+    hashed place of its text."""
+    by = F.xxhash64("_id", "_text")
+    # as many characters as SAMPLE_IDS ids can come from
+    at = F.pmod(F.xxhash64(by), F.greatest(F.length("_text") - SAMPLE_IDS, F.lit(0)) + 1).cast("int") + 1
+    part = F.col("_text").substr(at, F.lit(SAMPLE_IDS))
+    return docs.select(by.alias("_by"), part.alias("_text")).orderBy("_by", "_text").limit(SAMPLE_DOCS).select("_text")
+
+
 def fit_dictionary(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> bytes:
     """The dictionary from a bounded sample (SAMPLE_DOCS); docs has _id and _text."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("_id"), F.lit(max(1, n // SAMPLE_DOCS))) == 0) if n > SAMPLE_DOCS else docs
-    # characters that SAMPLE_IDS ids can come from
-    few = some.select(F.substring("_text", 1, SAMPLE_IDS).alias("_text")).limit(SAMPLE_DOCS).repartition(1)
+    few = sample(docs).repartition(1)
     found = few.mapInArrow(_train(tokenizer, end_id, kind), "dictionary binary").first()
     return found[0] if found else b""
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from shopmeld.llm import exact_dedup, near_dedup, substring_dedup
+from shopmeld.llm import exact_dedup, near_dedup, substring_dedup, token_files
 from shopmeld.llm.common import scratch
 from shopmeld.llm.decontamination import contamination, decontaminate
 from shopmeld.llm.html_text import labelled_pages, main_text, parse, trained
@@ -229,6 +229,18 @@ def test_token_files(spark, docs, none):
         Shard(f"{folder}/{first['name']}", dictionary + b"x")
 
 
+def test_dictionary_sees_later_parts_of_long_texts(spark, monkeypatch):
+    rows = spark.range(300).select(
+        F.col("id").alias("_id"), F.concat(F.repeat(F.lit("a "), 3000), F.repeat(F.lit("later words "), 1000)).alias("_text")
+    )
+    path = public_file("byte_bpe_50k.json")
+    later = np.array(Encoder(path).tokenizer.encode(" later words later", add_special_tokens=False).ids, "<u4").tobytes()
+    assert later in token_files.fit_dictionary(rows, path, 0, "<u4")
+    every = [r._text for r in token_files.sample(rows).collect()]
+    monkeypatch.setattr(token_files, "SAMPLE_DOCS", 40)
+    assert [r._text for r in token_files.sample(rows.repartition(7)).collect()] == every[:40]
+
+
 def test_packing(docs, none):
     rows = packed(docs, public_file("word_bpe_49k.json"), 1, group_pieces=3, fan_in=2).collect()
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows) - 1  # id 8 comes twice
