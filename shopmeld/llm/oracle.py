@@ -86,6 +86,42 @@ g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) O
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
 
+_ROUND = """
+a{i} AS MATERIALIZED (
+  SELECT r, part, x, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r, p.part, x, e, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM p JOIN c{i} USING (part))
+  GROUP BY r, part, x)"""
+_MOVED = """,
+m{i} AS (SELECT part, e, list(v ORDER BY j) AS c
+         FROM (SELECT part, e, j, CAST(floor(sum(x[j]) / count(*)) AS BIGINT) AS v
+               FROM a{i}, range(1, 1025) t(j) WHERE j <= len(x) GROUP BY part, e, j) GROUP BY part, e),
+c{n} AS MATERIALIZED (SELECT part, e, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (part, e)),"""
+
+#: Brute force: every part against every entry, two rounds and the last assignment.
+OP11 = f"""
+WITH k AS (SELECT row_number() OVER () AS r, vec_id, label,
+                  list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT r, vec_id, part, v[part * (len(v) // 16) + 1 : (part + 1) * (len(v) // 16)] AS x FROM k, range(16) t(part)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 64),
+{_ROUND.format(i=0)}{_MOVED.format(i=0, n=1)}
+{_ROUND.format(i=1)}{_MOVED.format(i=1, n=2)}
+{_ROUND.format(i=2)},
+f AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c2) AS codebooks_sha256
+FROM k JOIN f USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1, "op2_license_scan": OP2, "op4_decontamination": OP4, "op6_minhash_near_dedup": OP6, "op9_exact_dedup": OP9}
+    return {
+        "op1_warc": OP1,
+        "op2_license_scan": OP2,
+        "op4_decontamination": OP4,
+        "op6_minhash_near_dedup": OP6,
+        "op9_exact_dedup": OP9,
+        "op11_vector_codes": OP11,
+    }

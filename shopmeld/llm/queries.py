@@ -17,6 +17,7 @@ from .packing import packed
 from .substring_dedup import repeated_bytes
 from .token_files import token_round_trip
 from .tokens import public_file
+from .vector_codes import vector_codes
 from .warc import warc_round_trip
 
 
@@ -60,6 +61,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), public_file("word_bpe_49k.json"), end_id=1)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -72,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_text": op8_html_text,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_vector_codes": op11_vector_codes,
     }
