@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .hmm_scores import hmm_scores
 from .html_text import main_text
 from .language import language_id
 from .licenses import license_scan
@@ -65,6 +66,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op12_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm_scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -78,4 +83,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_exact_dedup": op9_exact_dedup,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_vector_codes": op11_vector_codes,
+        "op12_hmm_scores": op12_hmm_scores,
     }
