@@ -75,12 +75,15 @@ def first_model(mass: np.ndarray, states: int) -> Model:
 
 
 def next_model(mass: np.ndarray, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
-    """The model of expected counts; a state without counts takes the base model."""
+    """The model of expected counts; a state without counts takes the base model.
+
+    The last class, unknown words, has no counts and keeps its share of the base model in every state.
+    """
     n = emit.sum(0)
-    seen = np.where(n > 0, emit / np.where(n > 0, n, 1), mass[:, None])
-    return Model(
-        (start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1, keepdims=True), (1 - MIXED) * seen + MIXED * mass[:, None]
-    )
+    seen = np.where(n > 0, (1 - mass[-1]) * emit / np.where(n > 0, n, 1), mass[:, None])
+    seen[-1] = mass[-1]
+    mixed = (1 - MIXED) * seen + MIXED * mass[:, None]
+    return Model((start + 1) / (start + 1).sum(), (move + 1) / (move + 1).sum(1, keepdims=True), mixed)
 
 
 def _runs(lens: np.ndarray) -> Iterator[np.ndarray]:
