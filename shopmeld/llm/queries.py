@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import aligned_documents
 from .common import table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
@@ -70,6 +71,10 @@ def op12_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -84,4 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_best_fit_packing": op10_best_fit_packing,
         "op11_vector_codes": op11_vector_codes,
         "op12_hmm_scores": op12_hmm_scores,
+        "op13_token_alignment": op13_token_alignment,
     }
