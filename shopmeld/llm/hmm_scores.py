@@ -42,13 +42,14 @@ from pyspark.sql.types import (
 )
 
 from .common import ship, stored
+from .packed_ints import pack, unpack
 
 #: Buckets of words; one more class stands for unknown words.
 CLASSES = 1 << 16
 #: Share of the base model in every state's emissions.
 MIXED = 0.01
 #: Tokens of a block, and of what the recursions hold at a time.
-BLOCK_TOKENS = 1 << 22
+BLOCK_TOKENS = 1 << 21
 STEP_TOKENS = 1 << 19
 #: No word holds white space.
 END = b"\n"
@@ -178,25 +179,32 @@ def expected_counts(classes: np.ndarray, lens: np.ndarray, model: Model) -> tupl
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as numbers of a vocabulary of their own; 0 is the end."""
+    """Rows of documents as numbers of a vocabulary of their own."""
     made = TaskContext.get().partitionId() << 32
 
     def block() -> pa.RecordBatch:
         nonlocal made
         ids = pa.chunked_array(held_ids).combine_chunks()
         flags, sizes, text = np.concatenate(held_flags), np.array(lens, np.int32), np.concatenate(numbers)
+        # Small numbers for frequent words.
+        order = np.argsort(-np.bincount(text, minlength=len(known)), kind="stable")
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order))
+        text = place[text]
         counts = np.bincount(text[~np.repeat(flags, sizes)], minlength=len(known))
         row = {
             "_block": [made],
             "_id": [ids.to_pylist()],
             "held": [flags.tobytes()],
-            "lens": [sizes.tobytes()],
-            "tokens": [text.astype("<i4").tobytes()],
-            "words": [pa.array(list(known), pa.binary()).cast(pa.string()).to_pylist()],
+            "lens": [pack(sizes)],
+            "tokens": [pack(text)],
             "counts": [counts],
         }
+        words = pa.array(list(known), pa.binary()).cast(pa.string()).take(pa.array(order))
         made += 1
-        return pa.RecordBatch.from_arrays([pa.array(row[f.name], f.type) for f in schema], schema=schema)
+        listed = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), words)
+        arrays = [listed.cast(f.type) if f.name == "words" else pa.array(row[f.name], f.type) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def reset() -> None:
         nonlocal held_ids, held_flags, lens, numbers, known, n
@@ -227,10 +235,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa
 
 
 def _counted(key: tuple, block: pa.Table, words: pa.Table, schema: pa.Schema, seen: int, distinct: int, mass: np.ndarray) -> pa.Table:
-    """A block with the classes of its tokens, and what the counts alone say of each document."""
+    """A block with the classes of its words, and what the counts alone say of each document."""
     if not len(block):
         return schema.empty_table()
-    lens, text = (np.frombuffer(block[c][0].as_py(), "<i4") for c in ("lens", "tokens"))
+    lens, text = (unpack(block[c][0].as_py()) for c in ("lens", "tokens"))
     local = words["local"].to_numpy()
     count, group = np.zeros(len(local), np.int64), np.zeros(len(local), np.int32)
     count[local] = words["count"].to_numpy()
@@ -242,16 +250,17 @@ def _counted(key: tuple, block: pa.Table, words: pa.Table, schema: pa.Schema, se
         "n_known": [np.add.reduceat((count > 0)[text].astype(np.int64), first)],
         "base": [np.add.reduceat(base[text], first)],
         "inside": [np.add.reduceat((base - np.log10(mass[group]))[text], first)],
-        "classes": [group[text].astype("<u4").tobytes()],
+        "classes": [pack(group)],
     }
-    for c in ("_id", "held", "lens"):
-        row[c] = [block[c][0].as_py()]
-    return pa.Table.from_arrays([pa.array(row[f.name], f.type) for f in schema], schema=schema)
+    same = {c: block[c].combine_chunks() for c in ("_id", "held", "lens", "tokens")}
+    arrays = [same[f.name].cast(f.type) if f.name in same else pa.array(row[f.name], f.type) for f in schema]
+    return pa.Table.from_arrays(arrays, schema=schema)
 
 
 def _read(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    held, lens, classes = (batch.column(c)[row].as_py() for c in ("held", "lens", "classes"))
-    return np.frombuffer(held, bool), np.frombuffer(lens, "<i4").astype(np.int64), np.frombuffer(classes, "<u4").astype(np.int32)
+    """Which documents are held out, their lengths, and the classes of all tokens."""
+    held, lens, tokens, classes = (batch.column(c)[row].as_py() for c in ("held", "lens", "tokens", "classes"))
+    return np.frombuffer(held, bool), unpack(lens).astype(np.int64), unpack(classes)[unpack(tokens)]
 
 
 def _expected(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -325,6 +334,7 @@ def hmm_scores(
     counted = StructType(
         [
             *head,
+            StructField("tokens", BinaryType()),
             StructField("classes", BinaryType()),
             StructField("n_known", ArrayType(LongType())),
             StructField("base", ArrayType(DoubleType())),
@@ -349,7 +359,7 @@ def hmm_scores(
     columns = [f"s{i}" for i in range(states)]
     fields = ", ".join(f"{c} double" for c in columns)
     for _ in range(rounds):
-        task = texts.select("held", "lens", "classes").mapInArrow(partial(_expected, model=model), f"_row long, {fields}")
+        task = texts.select("held", "lens", "tokens", "classes").mapInArrow(partial(_expected, model=model), f"_row long, {fields}")
         total = np.zeros((CLASSES + 1 + states + 1, states))  # negative rows count from the end
         for r in task.groupBy("_row").agg(*(F.sum(c).alias(c) for c in columns)).collect():
             total[r._row] = r[1:]
