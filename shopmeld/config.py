@@ -59,6 +59,9 @@ PLATFORM_INFO = (
     ("shopee", "Shopee", "PHP", "Southeast Asia"),
 )
 
+# Amounts inside JSON payloads are held with so many digits behind the point.
+PAYLOAD_DIGITS = 6
+
 # Columns that record when a row was built; they differ from run to run.
 STAMP_COLUMNS = ("_loaded_at", "_generated_at")
 

@@ -174,10 +174,16 @@ def compact_text(value: Column) -> Column:
 
 
 def text_of(value: Column, type_name: str) -> Column:
-    """Any value as text: booleans capitalised, timestamps with their fraction only if they have one."""
+    """Any value as text: booleans capitalised, timestamps with their fraction only if they have one.
+
+    Amounts out of JSON payloads have no declared scale; they are held with six digits and print
+    those they need, two at least.
+    """
     if type_name == "boolean":
         return F.initcap(value.cast("string"))
     if type_name in ("timestamp", "timestamp_ntz"):
         text = value.cast("string")
         return F.when(text.contains("."), F.rpad(text, 26, "0")).otherwise(text)
+    if type_name.startswith("decimal") and type_name.endswith(f",{config.PAYLOAD_DIGITS})"):
+        return F.regexp_replace(value.cast("string"), r"(\.\d\d\d*?)0+$", "$1")
     return value.cast("string")

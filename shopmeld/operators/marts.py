@@ -29,6 +29,29 @@ def _sum_where(condition: Column, value: Column) -> Column:
     return F.sum(F.when(condition, value).otherwise(F.lit(0)))
 
 
+#: What the marts read of an order.
+FACT_COLUMNS = (
+    "order_id",
+    "platform",
+    "customer_id",
+    "order_date",
+    "order_month",
+    "total_amount",
+    "total_amount_usd",
+    "discount_amount",
+    "item_count",
+    "is_paid",
+    "is_fulfilled",
+    "is_cancelled",
+)
+
+
+def order_facts(orders: DataFrame) -> DataFrame:
+    """The narrow columns of the canonical orders that all marts read; stored once, they replace the parsing of
+    the raw orders in each of them."""
+    return orders.select(*FACT_COLUMNS)
+
+
 def kpi_daily_snapshot(orders: DataFrame) -> DataFrame:
     """One row per order date over all platforms: volumes, platform split, averages, deltas.
 
@@ -170,6 +193,10 @@ def kpi_platform_overview(orders: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
+#: Columns that need the products ranked.
+RANK_COLUMNS = ("revenue_rank", "units_rank", "revenue_percentile", "performance_tier")
+
+
 def kpi_product_performance(items: DataFrame, orders: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per (platform, product, name, SKU) of non-cancelled orders, ranked per platform.
 

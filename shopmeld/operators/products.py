@@ -8,13 +8,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopmeld import config
 from shopmeld.config import check_platform
 from shopmeld.functions.columns import epoch_seconds, exact_avg, ntz, or_default, zero_if_null
 
 TOP = 20
 TRENDING = 10
 #: Amounts inside JSON payloads are summed as written; only staging rounds them to two digits.
-PAYLOAD_MONEY = "decimal(20,6)"
+PAYLOAD_MONEY = f"decimal(20,{config.PAYLOAD_DIGITS})"
 
 
 def since(platform: str, cutoff: dt.datetime) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from shopmeld import config
@@ -102,6 +102,58 @@ def _check_pass(
 def run_quality_suite(
     models: Mapping[str, DataFrame], suite: Mapping[str, Mapping[str, tuple]] = SUITE
 ) -> DataFrame:
-    """The whole report over the models at hand."""
-    reports = [check_model(models[name], name, checks) for name, checks in suite.items() if name in models]
+    """The whole report over the models at hand; models are put together for the checked columns only."""
+    narrow = getattr(models, "narrow", lambda name, columns: models[name])
+    reports = [check_model(narrow(name, checks), name, checks) for name, checks in suite.items() if name in models]
     return reduce(DataFrame.unionByName, reports)
+
+
+REPORT = "model string, column_name string, test string, failures bigint"
+
+
+class Report:
+    """Checks counted while models are written.
+
+    `watch` adds counters to a model that is about to be written: missing and unaccepted values are counted as
+    its rows pass by, by Spark's observed metrics, and cost no scan. Only uniqueness needs a grouping of its
+    own; `result` adds those of the watched models, and whole checks for models that were not watched.
+    """
+
+    def __init__(self, suite: Mapping[str, Mapping[str, tuple]] = SUITE) -> None:
+        self._suite = suite
+        self._seen: dict[str, tuple[Observation, list[tuple[str, str]]]] = {}
+
+    def watch(self, name: str, df: DataFrame) -> DataFrame:
+        """The same rows; a model is watched once, by the first write."""
+        checks = self._suite.get(name, {})
+        counters, labels = [], []
+        for column, tests in checks.items():
+            for test in tests:
+                if test == "unique":
+                    continue
+                value = F.col(column)
+                wrong = value.isNull() if test == "not_null" else ~value.isin(*test)
+                counters.append(F.count_if(wrong).alias(f"_{len(labels)}"))
+                labels.append((column, test if test == "not_null" else "accepted_values"))
+        if not counters or name in self._seen:
+            return df
+        seen = Observation(f"checks of {name}")
+        self._seen[name] = (seen, labels)
+        return df.observe(seen, *counters)
+
+    def result(self, models: Mapping[str, DataFrame]) -> DataFrame:
+        """The report of the suite over `models`, after the watched ones were written."""
+        any_model = next(models[name] for name in self._suite if name in models)
+        rows = [
+            (name, column, test, counts[f"_{i}"])
+            for name, (seen, labels) in self._seen.items()
+            for counts in [seen.get]
+            for i, (column, test) in enumerate(labels)
+        ]
+        parts = [any_model.sparkSession.createDataFrame(rows, REPORT)]
+        for name, checks in self._suite.items():
+            if name in self._seen:
+                checks = {column: ("unique",) for column, tests in checks.items() if "unique" in tests}
+            if checks and name in models:
+                parts.append(check_model(models[name], name, checks))
+        return reduce(DataFrame.unionByName, parts)

@@ -944,7 +944,7 @@ def queries() -> dict[str, str]:
         SELECT fulfillment_status AS value_field, COUNT(*) AS n_records FROM int_unified_orders
         WHERE fulfillment_status NOT IN ('fulfilled', 'shipped', 'delivered', 'COMPLETED', 'Shipped')
         GROUP BY fulfillment_status"""
-    sql["dq_suite"] = _dq_suite()
+    sql["dq_suite"] = sql["dq_observed"] = _dq_suite()
 
     sql["fmt_platforms"] = FORMATTED_PLATFORMS
     sql["fmt_dashboard"] = FORMATTED_DASHBOARD
@@ -958,6 +958,13 @@ def queries() -> dict[str, str]:
     sql["live_daily_revenue"] = f"""
         SELECT order_date, platform, COUNT(*) AS orders, {_dbl("SUM(total_amount_usd)")} AS revenue_usd
         FROM int_unified_orders WHERE NOT is_cancelled GROUP BY order_date, platform"""
+    sql["live_corrected_revenue"] = f"""
+        SELECT order_date, platform, COUNT(*) AS orders,
+            {_dbl("COALESCE(SUM(total_amount_usd * CASE WHEN payment_status = 'pending' THEN 2 ELSE 1 END), 0)")} AS revenue_usd,
+            {_big("COALESCE(SUM(item_count + CASE WHEN payment_status = 'pending' THEN 1 ELSE 0 END), 0)")} AS items_sold
+        FROM int_unified_orders
+        WHERE NOT is_cancelled AND NOT COALESCE(fulfillment_status IN ('shipped', 'SHIPPED', 'Shipped'), FALSE)
+        GROUP BY order_date, platform"""
     sql["upsert_items"] = f"""
         SELECT order_item_id, order_id, product_id, name, variation, sku, {_dbl("paid_price")} AS paid_price,
             {_dbl("voucher_amount")} AS voucher_amount,

@@ -5,13 +5,15 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
+from functools import cached_property
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shopmeld import config
-from shopmeld.operators import marts
+from shopmeld.functions.scratch import written
+from shopmeld.operators import marts, quality
 from shopmeld.operators.intermediate import unified_order_items, unified_orders
 from shopmeld.operators.staging import STAGING, stage
 
@@ -45,11 +47,16 @@ def selected_models(select: str | Iterable[str] | None = None) -> list[str]:
 
 
 class Models(Mapping[str, DataFrame]):
-    """All models as lazy DataFrames, each put together once and only when asked for."""
+    """All models as lazy DataFrames, each put together once and only when asked for.
 
-    def __init__(self, raw: Mapping[str, DataFrame], as_of: dt.date):
+    With `share_facts` the first mart asked for writes the narrow order facts to the shared folder, and all marts
+    read those: one scan of the raw orders for any number of marts.
+    """
+
+    def __init__(self, raw: Mapping[str, DataFrame], as_of: dt.date, share_facts: bool = False):
         self._raw, self._as_of = raw, as_of
         self._built: dict[str, DataFrame] = {}
+        self._share_facts = share_facts
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in MODEL_TAGS:
@@ -75,14 +82,29 @@ class Models(Mapping[str, DataFrame]):
             return unified_orders([self[f"stg_{p}_orders"] for p in config.PLATFORMS])
         if name == "int_unified_order_items":
             return unified_order_items([self[f"stg_{p}_order_items"] for p in config.PLATFORMS])
-        orders = self["int_unified_orders"]
         if name == "kpi_daily_snapshot":
-            return marts.kpi_daily_snapshot(orders)
+            return marts.kpi_daily_snapshot(self.facts)
         if name == "kpi_platform_overview":
-            return marts.kpi_platform_overview(orders, self._as_of)
+            return marts.kpi_platform_overview(self.facts, self._as_of)
         if name == "kpi_revenue_summary":
-            return marts.kpi_revenue_summary(orders)
-        return marts.kpi_product_performance(self["int_unified_order_items"], orders, self._as_of)
+            return marts.kpi_revenue_summary(self.facts)
+        return marts.kpi_product_performance(self["int_unified_order_items"], self.facts, self._as_of)
+
+    @cached_property
+    def facts(self) -> DataFrame:
+        """The orders as the marts read them."""
+        facts = marts.order_facts(self["int_unified_orders"])
+        return written(facts) if self._share_facts else facts
+
+    def use_facts(self, stored: DataFrame) -> None:
+        """Let stored order facts stand in from now on; marts built before keep their own."""
+        self.facts = stored
+
+    def narrow(self, name: str, columns: Iterable[str]) -> DataFrame:
+        """A model for the sake of some columns only: products are not ranked where no rank is asked for."""
+        if name == "kpi_product_performance" and name not in self._built and not set(columns) & set(marts.RANK_COLUMNS):
+            return marts.product_metrics(self["int_unified_order_items"], self.facts, self._as_of)
+        return self[name]
 
 
 def register_views(models: Mapping[str, DataFrame]) -> list[str]:
@@ -153,30 +175,37 @@ def run_models(
     warehouse: str | None = None,
     select: str | Iterable[str] | None = None,
     store_intermediate: bool = False,
+    report: quality.Report | None = None,
 ) -> dict[str, DataFrame]:
     """Build the selected models; returns them by name in build order.
 
     Staging and intermediate models are views. With a `warehouse` directory the selected marts are
     written below a folder of this run and the stored copies returned; only when all are written is the
     run published, so `published_marts` shows a complete run at any time and keeps the former one when a
-    mart fails. Older run folders can be removed when nobody reads them any more. The four marts read few columns of the orders
-    each, so by default each prunes its own scan; `store_intermediate` writes the canonical
-    relations once, partitioned by platform, when parsing the raw JSON costs more than that write.
+    mart fails. Older run folders can be removed when nobody reads them any more. Where two marts or more are
+    written, the order facts are written first, so the raw orders are scanned and parsed once;
+    `store_intermediate` stores the whole canonical relations instead, partitioned by platform.
+
+    A `report` collects the quality checks of what is written, without further scans (see `quality.Report`).
     """
     names = selected_models(select)
     models = Models(raw, as_of)
     run = uuid.uuid4().hex
+    watch = report.watch if report else lambda name, df: df
+    stored_marts = [name for name in names if "marts" in MODEL_TAGS[name]]
+    base = f"{warehouse}/runs/{run}"
+    items_wanted = {"int_unified_order_items", "kpi_product_performance"} & set(names)
     if warehouse and store_intermediate:
-        needed = ["int_unified_orders"]
-        if {"int_unified_order_items", "kpi_product_performance"} & set(names):
-            needed.append("int_unified_order_items")
-        for name in needed:
-            stored = write_model(models[name], f"{warehouse}/runs/{run}", name, ["platform"])
-            models.replace(name, stored)
+        for name in ["int_unified_orders", *(["int_unified_order_items"] if items_wanted else [])]:
+            models.replace(name, write_model(watch(name, models[name]), base, name, ["platform"]))
+    elif warehouse and len(stored_marts) > 1:
+        orders = watch("int_unified_orders", models["int_unified_orders"])
+        models.use_facts(write_model(marts.order_facts(orders), base, "order_facts"))
     if warehouse:
-        stored_marts = [name for name in names if "marts" in MODEL_TAGS[name]]
+        if report and "kpi_product_performance" in names and not store_intermediate:
+            models.replace("int_unified_order_items", watch("int_unified_order_items", models["int_unified_order_items"]))
         for name in stored_marts:
-            models.replace(name, write_model(models[name], f"{warehouse}/runs/{run}", name))
+            models.replace(name, write_model(watch(name, models[name]), base, name))
         if stored_marts:
             _publish(models[stored_marts[0]].sparkSession, warehouse, run, stored_marts)
     built = {name: models[name] for name in names}

@@ -92,7 +92,8 @@ class Shop:
 
     @property
     def dashboard(self) -> DataFrame:
-        return kpis.dashboard_summary(self.overview, self.daily, AS_OF)
+        models = pipeline.Models(self.raw, AS_OF, share_facts=True)
+        return kpis.dashboard_summary(models["kpi_platform_overview"], models["kpi_daily_snapshot"], AS_OF)
 
     @property
     def mappings(self) -> DataFrame:
@@ -174,7 +175,14 @@ def _table_preview(shop: Shop) -> DataFrame:
 
 
 def _dq_suite(shop: Shop) -> DataFrame:
-    return quality.run_quality_suite(pipeline.Models(shop.raw, AS_OF))
+    return quality.run_quality_suite(pipeline.Models(shop.raw, AS_OF, share_facts=True))
+
+
+def _dq_observed(shop: Shop) -> DataFrame:
+    """The suite counted while the marts are written."""
+    report = quality.Report()
+    run = pipeline.run_models(shop.raw, AS_OF, warehouse=shop.new_folder(), report=report)
+    return report.result(run)
 
 
 def _model_row_counts(shop: Shop) -> DataFrame:
@@ -200,6 +208,33 @@ def _live_daily_revenue(shop: Shop) -> DataFrame:
     return live.live_result(shop.spark, target).drop("approx_buyers")
 
 
+def order_loads(orders: DataFrame) -> list[DataFrame]:
+    """Order versions in four loads: all orders; pending ones changed two days later; stale versions of all;
+    shipped ones cancelled three days later."""
+
+    def load(condition: str, days: int, **columns: Column) -> DataFrame:
+        moved = F.col("order_updated_at") + F.make_dt_interval(days=F.lit(days))
+        return live.order_versions(orders.filter(condition).withColumns({"order_updated_at": moved, **columns}))
+
+    usd = F.col("total_amount_usd")
+    return [
+        load("true", 0),
+        load("payment_status = 'pending'", 2, total_amount_usd=usd * 2, item_count=F.col("item_count") + 1),
+        load("true", -1, total_amount_usd=F.lit(1)),
+        load("fulfillment_status IN ('shipped', 'SHIPPED', 'Shipped')", 3, is_cancelled=F.lit(True)),
+    ]
+
+
+def _live_corrected_revenue(shop: Shop) -> DataFrame:
+    """The loads arrive one after the other; each is drained by a stream that resumes from its checkpoint."""
+    source, target, checkpoint = shop.new_folder(), shop.new_folder(), shop.new_folder()
+    for load in order_loads(shop.orders):
+        load.write.mode("append").parquet(source)
+        stream = shop.spark.readStream.schema(load.schema).parquet(source)
+        live.live_corrected_revenue(stream, target, checkpoint, refresh=None).awaitTermination()
+    return live.live_result(shop.spark, target)
+
+
 def _upsert_raw(shop: Shop) -> DataFrame:
     """All Shopify orders land, then a second load pays the pending ones; the newest rows win."""
     table, target, checkpoint = "shopify_orders", shop.new_folder(), shop.new_folder()
@@ -285,11 +320,13 @@ def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
             s.orders, "fulfillment_status", config.FULFILLED_STATUSES
         ),
         "dq_suite": _dq_suite,
+        "dq_observed": _dq_observed,
         "fmt_platforms": _fmt_platforms,
         "fmt_dashboard": _fmt_dashboard,
         "model_row_counts": _model_row_counts,
         "stored_marts": _stored_marts,
         "live_daily_revenue": _live_daily_revenue,
+        "live_corrected_revenue": _live_corrected_revenue,
         "upsert_raw": _upsert_raw,
         "upsert_items": _upsert_items,
     }

@@ -26,11 +26,26 @@ def duck():
     return con
 
 
+#: Trained models and tokenizers, which SQL cannot express; their tests are in tests/llm.
+WITHOUT_SQL = {
+    "op3_token_files",
+    "op5_suffix_array_dedup",
+    "op7_language_id",
+    "op8_html_text",
+    "op10_best_fit_packing",
+    "op12_hmm_scores",
+    "op13_token_alignment",
+    "pipeline",
+}
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    found = set(entry.queries())
+    assert set(entry.oracle_sql()) == found - WITHOUT_SQL
+    assert entry.corpus_pipeline is None or WITHOUT_SQL <= found
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, SF_DIR)
     result = duck.execute(entry.oracle_sql()[name])

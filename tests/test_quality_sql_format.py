@@ -51,6 +51,82 @@ def test_rejected_sql(spark, sql):
         adhoc.run_sql(spark, sql)
 
 
+READS = [
+    "SELECT n, count(*) AS c FROM ok WHERE n BETWEEN 1 AND 9 AND v LIKE 'a%' GROUP BY n HAVING count(*) > 0 ORDER BY n",
+    "SELECT * FROM (SELECT n FROM ok) x JOIN ok USING (n) LEFT JOIN ok z ON z.n = x.n",
+    "SELECT CASE WHEN n = 1 THEN 'a' ELSE v END, CAST(n AS STRING), n::int, v || 'x', -n, n % 2, n IS NOT NULL FROM ok",
+    "SELECT sum(n) OVER (PARTITION BY v ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), rank() OVER w FROM ok WINDOW w AS (ORDER BY n)",
+    "SELECT * FROM ok WHERE n = (SELECT max(n) FROM ok) AND EXISTS (SELECT 1 FROM OK) AND n IN (SELECT n FROM ok)",
+    "SELECT * FROM (WITH c AS (SELECT n FROM ok), d AS (SELECT n FROM c) SELECT * FROM d) e",
+    "SELECT n FROM ok UNION ALL SELECT n FROM ok EXCEPT SELECT n FROM ok",
+    "SELECT count(*) FILTER (WHERE n > 1), count(DISTINCT v) FROM ok GROUP BY ROLLUP (n)",
+    "SELECT x FROM VALUES (1, 'a') AS v(x, y)",
+    "SELECT o.n, k.m FROM ok o CROSS JOIN LATERAL (SELECT o.n + 1 AS m) k",
+    "SELECT * FROM ok LATERAL VIEW explode(array(1, 2)) q AS e",
+    "SELECT transform(array(1, 2), x -> x + 1), reverse('drop table') FROM ok",
+]
+
+REFUSED = [
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home') FROM ok",
+    "SELECT try_reflect('a', 'b')",
+    "SELECT count(*) FILTER (WHERE reflect('a', 'b') = 'x') FROM ok",
+    "SELECT sum(n) OVER (ORDER BY reflect('a', 'b')) FROM ok",
+    "SELECT transform(array(1), x -> reflect('a', 'b')) FROM ok",
+    "SELECT * FROM ok LATERAL VIEW java_method('a') q",
+    "SELECT * FROM range(java_method('a', 'b'))",
+    "SELECT IDENTIFIER('reflect')('a', 'b')",
+    "SELECT spark_catalog.default.f(1) FROM ok",
+    "SELECT TRANSFORM(n) USING 'cat' FROM ok",
+    "SELECT input_file_name() FROM ok",
+    "SELECT * FROM parquet.`/tmp/x`",
+    "SELECT * FROM `parquet`.`/tmp/x`",
+    "SELECT n FROM ok JOIN csv.`/tmp/x` USING (n)",
+    "SELECT * FROM ok WHERE n = (SELECT max(n) FROM json.`/tmp/x`)",
+    "SELECT CASE WHEN EXISTS (SELECT 1 FROM secret) THEN 1 END FROM ok",
+    "SELECT n FROM ok WHERE n IN (SELECT n FROM secret)",
+    "SELECT * FROM (WITH c AS (SELECT * FROM secret) SELECT * FROM c)",
+    "SELECT * FROM (WITH secret AS (SELECT * FROM secret) SELECT * FROM secret)",
+    "SELECT * FROM (WITH secret AS (SELECT 1 AS n) SELECT * FROM secret) a JOIN secret USING (n)",
+    "SELECT * FROM ok, LATERAL (SELECT * FROM secret)",
+    "SELECT n FROM ok LIMIT (SELECT max(n) FROM secret)",
+    "SELECT * FROM default.ok",
+    "SELECT * FROM IDENTIFIER('secret')",
+    "SELECT * FROM read_files('/tmp')",
+    "SELECT * FROM ok VERSION AS OF 1",
+    "SELECT n FROM ok; SELECT n FROM ok",
+]
+
+
+@pytest.fixture(scope="module")
+def ok_and_secret(spark):
+    spark.createDataFrame([(1, "a"), (2, "b")], "n int, v string").createOrReplaceTempView("ok")
+    spark.range(3).withColumnRenamed("id", "n").createOrReplaceTempView("secret")
+
+
+@pytest.mark.parametrize("sql", READS)
+def test_reads_pass_the_plan_check(spark, ok_and_secret, sql):
+    assert adhoc.check_plan(spark, sql, ["ok"]) is False
+    adhoc.run_sql(spark, sql, relations=["ok"]).collect()
+
+
+@pytest.mark.parametrize("sql", REFUSED)
+def test_plan_check_refuses(spark, ok_and_secret, sql):
+    with pytest.raises(adhoc.ForbiddenSqlError):
+        adhoc.check_plan(spark, sql, ["ok"])
+
+
+def test_relations_default_to_temporary_views(spark, ok_and_secret):
+    assert adhoc.check_plan(spark, "SELECT * FROM secret LIMIT 2 OFFSET 1")
+    spark.range(1).write.mode("overwrite").saveAsTable("kept_elsewhere")
+    try:
+        with pytest.raises(adhoc.ForbiddenSqlError):
+            adhoc.check_plan(spark, "SELECT * FROM kept_elsewhere")
+        assert adhoc.check_plan(spark, "SELECT * FROM default.kept_elsewhere", ["default.kept_elsewhere"]) is False
+    finally:
+        spark.sql("DROP TABLE kept_elsewhere")
+
+
 def test_sql_text_and_limits(spark):
     spark.createDataFrame(
         [(i, moment("2024-05-01 10:00:00"), True, D("1.50"), None, "drop 'it'") for i in range(150)],
@@ -65,6 +141,8 @@ def test_sql_text_and_limits(spark):
     assert [r.n for r in bound.collect()] == ["7"]
     tail = spark.createDataFrame([(moment("2024-05-01 10:00:00.25"),)], "t timestamp_ntz")
     assert adhoc.as_text(tail).first().t == "2024-05-01 10:00:00.250000"
+    amounts = spark.createDataFrame([(D("1.500000"),), (D("2.125000"),), (D("-3.000000"),), (D("0.000001"),), (None,)], "a decimal(20,6)")
+    assert [r.a for r in adhoc.as_text(amounts).collect()] == ["1.50", "2.125", "-3.00", "0.000001", None]
 
 
 def test_preview(spark):
