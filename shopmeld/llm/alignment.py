@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from .common import ship, stored
+from .packed_ints import pack, unpack
 from .tokens import VISIBLE
 
 #: A place to cut: a visible Latin character, then a space or line break that another one follows.
@@ -264,7 +265,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, schema:
         nonlocal made
         all_places, n = np.concatenate(places), np.concatenate(sizes)
         counts = a.counts[:3, all_places]
-        used, local = np.unique(all_places, return_inverse=True)
+        used, local, often = np.unique(all_places, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")  # small numbers for frequent pieces
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        used, local = used[order], place[local]
         n_links = a.link_ends[used + 1] - a.link_ends[used]
         codes, pair = np.unique(a.links[_ranges(a.link_ends[used], a.link_ends[used + 1])], return_inverse=True)
         # Documents that hold a pair: distinct pieces of each, then the distinct pairs of those.
@@ -282,10 +287,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, schema:
             "n_groups": [_totals(counts[2], n)],
             "n_links": [_totals((a.link_ends[1:] - a.link_ends[:-1])[all_places], n)],
             "digest": [digests],
-            "sizes": [n.astype("<i4").tobytes()],
-            "pieces": [local.astype("<i4").tobytes()],
-            "link_sizes": [n_links.astype("<i4").tobytes()],
-            "links": [pair.astype("<i4").tobytes()],
+            "sizes": [pack(n)],
+            "pieces": [pack(local)],
+            "link_sizes": [pack(n_links)],
+            "links": [pack(pair)],
             "codes": [codes],
             "docs": [docs],
         }
@@ -320,7 +325,7 @@ def _counted(key: tuple, block: pa.Table, pairs: pa.Table, schema: pa.Schema) ->
     """A block's documents with the counts of their links."""
     if not len(block):
         return schema.empty_table()
-    n, pieces, n_links, links = (np.frombuffer(block[c][0].as_py(), "<i4") for c in ("sizes", "pieces", "link_sizes", "links"))
+    n, pieces, n_links, links = (unpack(block[c][0].as_py()) for c in ("sizes", "pieces", "link_sizes", "links"))
     count, best = np.zeros((2, links.max(initial=-1) + 1), np.int64)
     local = pairs["local"].to_numpy()
     count[local], best[local] = pairs["count"].to_numpy(), pairs["best"].to_numpy()
