@@ -74,7 +74,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def whole(text: str | Column) -> Column:
     """The text; null counts as empty."""
-    return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit(""))
+
+
+def packed_row(names: list[str]) -> Column:
+    """All columns in one struct, `_row`; names may hold blanks and dots."""
+    return F.struct(*[F.col(f"`{name}`") for name in names]).alias("_row")
 
 
 def lowered(text: Column) -> Column:

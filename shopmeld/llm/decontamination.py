@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_ANY_CASE, whole, words
+from .common import WORD_ANY_CASE, packed_row, whole, words
 
 WINDOW = 13
 BROADCAST_BYTES = 64 << 20
@@ -27,7 +27,7 @@ def item_windows(
     benchmark: DataFrame, id_column: str = "item_id", text_column: str = "text", window: int = WINDOW
 ) -> DataFrame:
     """Distinct windows: _len, _gram (words), _items (ids as strings), _key."""
-    split = benchmark.select(F.col(id_column).cast("string").alias("_item"), words(whole(text_column)).alias("_w"))
+    split = benchmark.select(F.col(f"`{id_column}`").cast("string").alias("_item"), words(whole(text_column)).alias("_w"))
     grams = (
         split.where(F.size("_w") > 0)
         .withColumn("_len", F.least(F.size("_w"), F.lit(window)))
@@ -43,36 +43,50 @@ def item_windows(
 
 
 def window_hits(docs: DataFrame, grams: DataFrame, max_broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Verified hits of windows in rows of docs (_id, _hash, _w): _id, _hash, _from, _to, _items."""
+    """Verified hits of windows in rows of docs (_id, _hash, _w): _id, _hash, _n_words, _block, _from, _to, _items.
+
+    The words are split once: next to the places of its words each row has one more place, before the first
+    word, of length 0. It meets the empty window that every block holds, so each row of docs comes back once
+    per block with _from null, whether it has hits or not.
+    """
     stats = grams.agg(
         F.sum(F.length(F.concat_ws(" ", "_gram")) * 2 + F.length(F.concat_ws(" ", "_items")) * 2 + 64).alias("b"),
         F.collect_set("_len").alias("l"),
     ).first()
     lengths, blocks = stats["l"] or [WINDOW], -(-(stats["b"] or 1) // max_broadcast_bytes)
+    begin = F.col("_place") == 0
+    lens = F.explode(F.when(begin, F.array(F.lit(0))).otherwise(F.array(*[F.lit(n) for n in sorted(lengths)])))
+    at = F.when(begin, 0).otherwise(F.col("_place") - 1)
+    key = _key(
+        F.col("_len"), F.col("_first"), F.get("_w", F.expr("_at + _len div 2").cast("int")), F.get("_w", F.col("_at") + F.col("_len") - 1)
+    )
     places = (
-        docs.select("_id", "_hash", "_w", F.posexplode("_w").alias("_at", "_first"))
-        .withColumn("_len", F.explode(F.array(*[F.lit(n) for n in sorted(lengths)])) if len(lengths) > 1 else F.lit(lengths[0]))
+        docs.select("_id", "_hash", "_w", F.posexplode(F.concat(F.array(F.lit("")), "_w")).alias("_place", "_first"))
+        .withColumn("_len", lens if len(lengths) > 1 else F.when(begin, 0).otherwise(lengths[0]))
+        .withColumn("_at", at)
         .where(F.col("_at") + F.col("_len") <= F.size("_w"))
-        .withColumn(
-            "_key",
-            _key(
-                F.col("_len"),
-                F.col("_first"),
-                F.get("_w", F.expr("_at + _len div 2").cast("int")),
-                F.get("_w", F.col("_at") + F.col("_len") - 1),
-            ),
-        )
+        .withColumn("_key", F.when(F.col("_len") == 0, F.lit(0)).otherwise(key))
+    )
+    empty = grams.sparkSession.range(1, numPartitions=1).select(
+        F.lit(0).alias("_len"), F.array().cast("array<string>").alias("_gram"), F.array().cast("array<string>").alias("_items"), F.lit(0).cast("bigint").alias("_key")
     )
     parts = []
     for block in range(blocks):
         some = grams.where(F.pmod(F.hash("_key"), F.lit(blocks)) == block) if blocks > 1 else grams
-        some = some.withColumnRenamed("_len", "_n")
+        some = some.unionByName(empty).withColumnRenamed("_len", "_n")
         hit = (places["_key"] == some["_key"]) & (places["_len"] == some["_n"]) & (
             F.slice(places["_w"], places["_at"] + 1, places["_len"]) == some["_gram"]
         )
+        real = F.col("_len") > 0
         parts.append(
             places.join(F.broadcast(some), hit).select(
-                "_id", "_hash", F.col("_at").alias("_from"), (F.col("_at") + F.col("_len")).alias("_to"), "_items"
+                "_id",
+                "_hash",
+                F.size("_w").cast("long").alias("_n_words"),
+                F.lit(block).alias("_block"),
+                F.when(real, F.col("_at")).alias("_from"),
+                F.when(real, F.col("_at") + F.col("_len")).alias("_to"),
+                F.when(real, F.col("_items")).alias("_items"),
             )
         )
     return reduce(DataFrame.unionByName, parts)
@@ -103,24 +117,18 @@ def contamination(
     id count as hits and not as items. Equal rows get equal results. An empty benchmark hits nothing.
     """
     text = whole(text_column)
-    ids = F.col(id_column).alias("_id")
     grams = item_windows(benchmark, item_column, item_text_column, window)
-    hits = window_hits(docs.select(ids, F.xxhash64(text).alias("_hash"), words(text).alias("_w")), grams, max_broadcast_bytes)
-    found = (
-        hits.groupBy("_id", "_hash")
-        .agg(
-            F.collect_set(F.struct("_from", "_to")).alias("_spans"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_items"),
-        )
-        .withColumnsRenamed({"_id": "_id2", "_hash": "_hash2"})
+    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), F.xxhash64(text).alias("_hash"), words(text).alias("_w"))
+    hit = F.col("_from").isNotNull()
+    found = window_hits(rows, grams, max_broadcast_bytes).groupBy("_id", "_hash").agg(
+        F.max("_n_words").alias("n_words"),
+        F.count_if(~hit & (F.col("_block") == 0)).cast("int").alias("_rows"),
+        F.collect_set(F.when(hit, F.struct("_from", "_to"))).alias("_spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("_items")))).alias("_items"),
     )
-    rows = docs.select(ids, F.xxhash64(text).alias("_hash"), F.size(words(text)).cast("long").alias("n_words"))
-    n_hit = F.coalesce(_covered(), F.lit(0).cast("long"))
-    none = F.array().cast("array<string>")
-    out = (
-        rows.join(found, rows["_id"].eqNullSafe(found["_id2"]) & (rows["_hash"] == found["_hash2"]), "left")
-        .withColumn("n_hit", n_hit)
-        .withColumn("_items", F.coalesce("_items", none))
+    return (
+        found.withColumn("n_hit", _covered())
+        .withColumn("_row", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))))
         .select(
             F.col("_id").alias(id_column),
             "n_words",
@@ -131,7 +139,6 @@ def contamination(
             *(["_hash", F.array_sort("_spans").alias("_spans")] if with_spans else []),
         )
     )
-    return out
 
 
 def decontaminate(
@@ -151,10 +158,10 @@ def decontaminate(
     names = docs.columns
     marks = contamination(docs, benchmark, id_column, text_column, with_spans=True, **options)
     marks = marks.where("contaminated" if remove == "documents" else "n_hit > 0").select(
-        F.col(id_column).alias("_id"), "_hash", "_spans"
+        F.col(f"`{id_column}`").alias("_id"), "_hash", "_spans"
     ).dropDuplicates(["_id", "_hash"])
     rows = docs.select(
-        F.struct(*names).alias("_row"), F.col(id_column).alias("_rid"), F.xxhash64(whole(text_column)).alias("_rhash")
+        packed_row(names), F.col(f"`{id_column}`").alias("_rid"), F.xxhash64(whole(text_column)).alias("_rhash")
     )
     same = rows["_rid"].eqNullSafe(marks["_id"]) & (rows["_rhash"] == marks["_hash"])
     if remove == "documents":
