@@ -65,12 +65,14 @@ def _train(tokenizer: str, end_id: int, kind: str):
 
 def sample(docs: DataFrame) -> DataFrame:
     """Parts (_text) of at most SAMPLE_DOCS documents, at every size those of the smallest hashes, each from a
-    hashed place of its text."""
+    hashed place of its text. Hashes alone are ranked; the texts are fetched by the last of them."""
     by = F.xxhash64("_id", "_text")
+    last = docs.select(by.alias("_by")).orderBy("_by").limit(SAMPLE_DOCS).agg(F.max("_by")).first()[0]
     # as many characters as SAMPLE_IDS ids can come from
     at = F.pmod(F.xxhash64(by), F.greatest(F.length("_text") - SAMPLE_IDS, F.lit(0)) + 1).cast("int") + 1
     part = F.col("_text").substr(at, F.lit(SAMPLE_IDS))
-    return docs.select(by.alias("_by"), part.alias("_text")).orderBy("_by", "_text").limit(SAMPLE_DOCS).select("_text")
+    few = docs.where(by <= F.lit(last)) if last is not None else docs.limit(0)
+    return few.select(by.alias("_by"), part.alias("_text")).dropDuplicates(["_by"]).select("_text")
 
 
 def fit_dictionary(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> bytes:
