@@ -53,7 +53,12 @@ def order_facts(orders: DataFrame) -> DataFrame:
 
 
 def kpi_daily_snapshot(orders: DataFrame) -> DataFrame:
-    """One row per order date over all platforms: volumes, platform split, averages, deltas.
+    """One row per order date over all platforms: volumes, platform split, averages, deltas."""
+    return snapshot_trends(snapshot_days(orders))
+
+
+def snapshot_days(orders: DataFrame) -> DataFrame:
+    """The figures of each order date that follow from its own orders.
 
     Six distinct counts would make Spark copy every order seven times. Instead each order gives
     two narrow rows, one for its order id (with its platform as a bit) and one for its customer;
@@ -97,8 +102,11 @@ def kpi_daily_snapshot(orders: DataFrame) -> DataFrame:
         F.count_if(known & ~F.col("is_order")).alias("unique_customers"),
     )
 
-    # One row per calendar day from here on, so a window without partitions stays small.
-    daily = sums.join(counts, F.col("order_date").eqNullSafe(F.col("_date"))).drop("_date")
+    return sums.join(counts, F.col("order_date").eqNullSafe(F.col("_date"))).drop("_date")
+
+
+def snapshot_trends(daily: DataFrame) -> DataFrame:
+    """Moving averages and deltas; with one row per calendar day, a window without partitions stays small."""
     by_date = W.orderBy(F.asc_nulls_last("order_date"))
     trends = {}
     for measure, column in (("revenue", "total_revenue_usd"), ("orders", "total_orders")):
@@ -114,15 +122,52 @@ def kpi_daily_snapshot(orders: DataFrame) -> DataFrame:
 def kpi_platform_overview(orders: DataFrame, as_of: dt.date) -> DataFrame:
     """One row per platform: all-time, this month, last month and today, rates and growth.
 
-    Sums are folded per platform and day first (a few thousand rows per platform), which also
-    gives the active days. The five distinct order counts come from one pass that makes
+    Sums are folded per platform and day first. The five distinct order counts come from one pass that makes
     (platform, order id) distinct and keeps, as bits, which of the five the id belongs to.
     """
+    kept, date = ~F.col("is_cancelled"), F.col("order_date")
+    today, this_month, last_month = _calendar(as_of)
+    sums = _overview_sums(overview_days(orders), as_of)
+
+    memberships = {
+        "completed_orders": kept,
+        "cancelled_orders": F.col("is_cancelled"),
+        "orders_this_month": F.col("order_month") == this_month,
+        "orders_last_month": F.col("order_month") == last_month,
+        "orders_today": date == today,
+    }
+    bits = [
+        F.when(condition, F.lit(1 << i)).otherwise(F.lit(0))
+        for i, condition in enumerate(memberships.values())
+    ]
+    distinct = (
+        orders.filter(F.col("order_id").isNotNull())
+        .groupBy("platform", "order_id")
+        .agg(F.bit_or(sum(bits[1:], bits[0])).alias("bits"))
+    )
+    counts = distinct.groupBy(F.col("platform").alias("_platform")).agg(
+        F.count("*").alias("total_orders"),
+        *(
+            F.count_if(F.col("bits").bitwiseAND(1 << i) != 0).alias(name)
+            for i, name in enumerate(memberships)
+        ),
+    )
+
+    overview = sums.join(counts, F.col("platform").eqNullSafe(F.col("_platform")), "left")
+    return _overview_growth(overview.drop("_platform").na.fill(0, ["total_orders", *memberships]))
+
+
+def _calendar(as_of: dt.date) -> tuple[Column, Column, Column]:
+    """Today, and the first days of this month and the last."""
     today = day(as_of)
-    this_month, last_month = F.trunc(today, "month"), F.trunc(F.add_months(today, -1), "month")
-    usd, kept = F.col("total_amount_usd"), ~F.col("is_cancelled")
+    return today, F.trunc(today, "month"), F.trunc(F.add_months(today, -1), "month")
 
-    daily = orders.groupBy("platform", "order_date").agg(
+
+def overview_days(orders: DataFrame) -> DataFrame:
+    """What the overview sums up, per platform and order date; the counts of ids hold where an id occurs once."""
+    usd, kept = F.col("total_amount_usd"), ~F.col("is_cancelled")
+    known = F.col("order_id").isNotNull()
+    return orders.groupBy("platform", "order_date").agg(
         F.count("*").alias("rows"),
         F.sum(F.when(kept, usd).otherwise(F.lit(0))).alias("revenue"),
         F.sum(F.when(kept, usd)).alias("kept_revenue"),
@@ -130,10 +175,18 @@ def kpi_platform_overview(orders: DataFrame, as_of: dt.date) -> DataFrame:
         F.sum(F.when(kept, F.col("item_count"))).alias("kept_items"),
         F.count(F.when(kept, F.col("item_count"))).alias("kept_item_counts"),
         *(F.count_if(flag).alias(flag) for flag in ("is_paid", "is_fulfilled", "is_cancelled")),
+        F.count_if(known).alias("ids"),
+        F.count_if(known & kept).alias("kept_ids"),
+        F.count_if(known & F.col("is_cancelled")).alias("cancelled_ids"),
     )
+
+
+def _overview_sums(days: DataFrame, as_of: dt.date, *counts: Column) -> DataFrame:
+    """A few thousand rows per platform folded to one, which also gives the active days."""
+    today, this_month, last_month = _calendar(as_of)
     month, date = F.trunc("order_date", "month"), F.col("order_date")
-    total = {name: F.sum(name) for name in daily.columns if name not in ("platform", "order_date")}
-    sums = daily.groupBy("platform").agg(
+    total = {name: F.sum(name) for name in days.columns if name not in ("platform", "order_date")}
+    return days.groupBy("platform").agg(
         total["revenue"].alias("total_revenue_usd"),
         _sum_where(month == this_month, F.col("revenue")).alias("revenue_this_month_usd"),
         _sum_where(month == last_month, F.col("revenue")).alias("revenue_last_month_usd"),
@@ -150,35 +203,26 @@ def kpi_platform_overview(orders: DataFrame, as_of: dt.date) -> DataFrame:
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
         F.count("order_date").alias("active_days"),
+        *counts,
     )
 
-    memberships = {
-        "completed_orders": kept,
-        "cancelled_orders": F.col("is_cancelled"),
-        "orders_this_month": F.col("order_month") == this_month,
-        "orders_last_month": F.col("order_month") == last_month,
-        "orders_today": date == today,
-    }
-    bits = [
-        F.when(condition, F.lit(1 << i)).otherwise(F.lit(0))
-        for i, condition in enumerate(memberships.values())
-    ]
-    distinct = (
-        orders.filter(F.col("order_id").isNotNull())
-        .groupBy("platform", "order_id")
-        .agg(F.bit_or(sum(bits[1:], bits[0])).alias("bits"))
-    )
-    counts = distinct.groupBy(F.col("platform").alias("_platform")).agg(
-        F.count("*").alias("total_orders"),
-        *(
-            F.count_if(F.col("bits").bitwiseAND(1 << i) != 0).alias(name)
-            for i, name in enumerate(memberships)
-        ),
+
+def overview_of_days(days: DataFrame, as_of: dt.date) -> DataFrame:
+    """The overview out of `overview_days` of orders whose ids occur once: the counts of its days add up."""
+    today, this_month, last_month = _calendar(as_of)
+    month, ids = F.trunc("order_date", "month"), F.col("ids")
+    counts = (
+        F.sum(ids).alias("total_orders"),
+        F.sum("kept_ids").alias("completed_orders"),
+        F.sum("cancelled_ids").alias("cancelled_orders"),
+        _sum_where(month == this_month, ids).alias("orders_this_month"),
+        _sum_where(month == last_month, ids).alias("orders_last_month"),
+        _sum_where(F.col("order_date") == today, ids).alias("orders_today"),
     )
+    return _overview_growth(_overview_sums(days, as_of, *counts))
 
-    count_names = ["total_orders", *memberships]
-    overview = sums.join(counts, F.col("platform").eqNullSafe(F.col("_platform")), "left")
-    overview = overview.drop("_platform").na.fill(0, count_names)
+
+def _overview_growth(overview: DataFrame) -> DataFrame:
     return _stamped(
         overview.withColumns(
             {
@@ -274,11 +318,15 @@ def _ranked(metrics: DataFrame) -> DataFrame:
 
 
 def kpi_revenue_summary(orders: DataFrame) -> DataFrame:
-    """One row per order date and platform with growth and month-to-date totals.
+    """One row per order date and platform with growth and month-to-date totals."""
+    return revenue_growth(revenue_days(orders))
+
+
+def revenue_days(orders: DataFrame) -> DataFrame:
+    """The figures of each order date and platform that follow from its own orders.
 
     Sums fold to a few rows per task before they are shuffled; only the distinct order count moves
-    one narrow row per order, so it is kept apart instead of dragging all sums along. The windows
-    run on the daily rows, of which a platform has one per calendar day.
+    one narrow row per order, so it is kept apart instead of dragging all sums along.
     """
     paid, fulfilled = F.col("is_paid"), F.col("is_fulfilled")
     kept = orders.filter(~F.col("is_cancelled"))
@@ -301,7 +349,11 @@ def kpi_revenue_summary(orders: DataFrame) -> DataFrame:
     same_row = F.col("order_date").eqNullSafe(F.col("_date")) & F.col("platform").eqNullSafe(
         F.col("_platform")
     )
-    daily = sums.join(counts, same_row).drop("_date", "_platform")
+    return sums.join(counts, same_row).drop("_date", "_platform")
+
+
+def revenue_growth(daily: DataFrame) -> DataFrame:
+    """Changes and month-to-date totals; a platform has one row per calendar day."""
     by_date = W.partitionBy("platform").orderBy(F.asc_nulls_last("order_date"))
     in_month = W.partitionBy("platform", F.trunc("order_date", "month")).orderBy(
         F.asc_nulls_last("order_date")

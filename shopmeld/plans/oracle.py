@@ -312,6 +312,35 @@ RELATIONS["kpi_revenue_summary"] = f"""
         FROM revenue_base)"""
 
 
+#: Raw orders after the loads of the incremental queries.
+CHANGED_RAW = {
+    "raw_shopify_orders": """
+        SELECT * REPLACE (
+            CASE WHEN financial_status = 'pending' THEN CAST(total_price * 2 AS DECIMAL(12,2)) ELSE total_price END AS total_price,
+            CASE WHEN financial_status = 'pending' THEN updated_at + INTERVAL 1 DAY ELSE updated_at END AS updated_at,
+            CASE WHEN financial_status = 'pending' THEN 'paid' ELSE financial_status END AS financial_status)
+        FROM raw_shopify_orders""",
+    "raw_lazada_orders": """
+        SELECT * REPLACE (
+            CASE WHEN statuses = 'shipped' THEN updated_at + INTERVAL 50 DAY ELSE updated_at END AS updated_at,
+            CASE WHEN statuses = 'shipped' THEN created_at + INTERVAL 40 DAY ELSE created_at END AS created_at,
+            CASE WHEN statuses = 'shipped' THEN 'delivered' ELSE statuses END AS statuses)
+        FROM raw_lazada_orders""",
+}
+
+
+def _changed_relations() -> dict[str, str]:
+    """Every relation once more, `<name>_changed`, over the changed raw orders."""
+
+    def renamed(body: str) -> str:
+        return re.sub(r"\w+", lambda w: f"{w[0]}_changed" if w[0] in RELATIONS else w[0], body)
+
+    return {f"{name}_changed": CHANGED_RAW.get(name) or renamed(body) for name, body in RELATIONS.items()}
+
+
+RELATIONS |= _changed_relations()
+
+
 def compose(sql: str) -> str:
     """Prefix a query with the CTEs it needs, dependencies first."""
     ordered: list[str] = []
@@ -952,6 +981,9 @@ def queries() -> dict[str, str]:
     sql["model_row_counts"] = " UNION ALL ".join(
         f"SELECT '{name}' AS model, (SELECT COUNT(*) FROM {name}) AS n_rows" for name in _MODELS
     )
+    sql["incremental_revenue_summary"] = _plain(REVENUE_KINDS, "kpi_revenue_summary_changed")
+    sql["incremental_daily_snapshot"] = _plain(DAILY_KINDS, "kpi_daily_snapshot_changed")
+    sql["incremental_platform_overview"] = _plain(OVERVIEW_KINDS, "kpi_platform_overview_changed")
     sql["stored_marts"] = _plain(
         REVENUE_KINDS, "kpi_revenue_summary"
     )

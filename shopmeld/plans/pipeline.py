@@ -7,11 +7,10 @@ import uuid
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from functools import cached_property
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from shopmeld import config
+from shopmeld.functions.commits import CommitLog
 from shopmeld.functions.scratch import written
 from shopmeld.operators import marts, quality
 from shopmeld.operators.intermediate import unified_order_items, unified_orders
@@ -123,31 +122,19 @@ def write_model(
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-PUBLISHED = "number long, run string, models array<string>"
-
-
-def _publications(spark: SparkSession, warehouse: str) -> list:
-    """(model, run, number) of the newest complete run of each model; few rows, one per model."""
-    try:
-        runs = spark.read.schema(PUBLISHED).parquet(f"{warehouse}/published")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
-    newest = F.max(F.struct("number", "run")).alias("newest")
-    return runs.select("number", "run", F.explode("models").alias("model")).groupBy("model").agg(newest).select("model", "newest.*").collect()
-
-
 def published_marts(spark: SparkSession, warehouse: str) -> dict[str, DataFrame]:
     """The stored marts as last published: each from the newest run that was written to its end."""
-    return {r.model: spark.read.parquet(f"{warehouse}/runs/{r.run}/{r.model}") for r in _publications(spark, warehouse)}
+    _, state = CommitLog(spark, f"{warehouse}/published").newest()
+    return {model: spark.read.parquet(f"{warehouse}/runs/{run}/{model}") for model, run in state.get("models", {}).items()}
 
 
 def _publish(spark: SparkSession, warehouse: str, run: str, models: Sequence[str]) -> None:
-    """Announce a run whose marts are all written; runs are to be published one after the other."""
-    number = 1 + max((r.number for r in _publications(spark, warehouse)), default=0)
-    row = spark.createDataFrame([(number, run, list(models))], PUBLISHED)
-    row.coalesce(1).write.mode("append").parquet(f"{warehouse}/published")
+    """Announce a run whose marts are all written. Of runs that end at once one is first; the other goes on top."""
+    log = CommitLog(spark, f"{warehouse}/published")
+    while True:
+        number, state = log.newest()
+        if log.commit(number + 1, {"models": state.get("models", {}) | dict.fromkeys(models, run)}):
+            return
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +27,7 @@ from shopmeld.operators import (
 )
 from shopmeld.operators.intermediate import order_items_of, orders_of, with_platform_info
 from shopmeld.operators.staging import STAGING, stage
-from shopmeld.plans import pipeline
+from shopmeld.plans import incremental, pipeline
 from shopmeld.schemas import RAW_SCHEMAS
 from shopmeld.sources.fixture import DerivedRawTables
 from shopmeld.sources.raw import platform_mappings
@@ -235,6 +235,35 @@ def _live_corrected_revenue(shop: Shop) -> DataFrame:
     return live.live_result(shop.spark, target)
 
 
+def changed_loads(raw: Mapping[str, DataFrame]) -> list[dict[str, DataFrame]]:
+    """Raw orders in four loads: all; Shopify's pending ones paid at twice the price; Lazada's shipped ones
+    delivered and moved forty days on; Shopee's all as they were before, at no amount."""
+
+    def moved(column: str, days: int) -> Column:
+        return F.col(column) + F.make_dt_interval(days=F.lit(days))
+
+    shopify, lazada, shopee = (raw[f"{p}_orders"] for p in ("shopify", "lazada", "shopee"))
+    paid = {"financial_status": F.lit("paid"), "updated_at": moved("updated_at", 1), "total_price": (F.col("total_price") * 2).cast("decimal(12,2)")}
+    delivered = {"statuses": F.lit("delivered"), "updated_at": moved("updated_at", 50), "created_at": moved("created_at", 40)}
+    return [
+        {f"{p}_orders": raw[f"{p}_orders"] for p in config.PLATFORMS},
+        {"shopify_orders": shopify.filter("financial_status = 'pending'").withColumns(paid)},
+        {"lazada_orders": lazada.filter("statuses = 'shipped'").withColumns(delivered)},
+        {"shopee_orders": shopee.withColumns({"update_time": F.col("update_time") - 1, "total_amount": F.lit(0).cast("decimal(12,2)")})},
+    ]
+
+
+def _incremental(shop: Shop, name: str) -> DataFrame:
+    """The loads land one after the other, and the marts are brought up to date after each."""
+    landed = shop.new_folder()
+    kept = incremental.IncrementalMarts(shop.spark, landed, shop.new_folder(), slot="month")
+    for batch, load in enumerate(changed_loads(shop.raw)):
+        for table, rows in load.items():
+            landing.land_batch(rows, landed, table, batch)
+        kept.refresh()
+    return kept.marts(AS_OF)[name]
+
+
 def _upsert_raw(shop: Shop) -> DataFrame:
     """All Shopify orders land, then a second load pays the pending ones; the newest rows win."""
     table, target, checkpoint = "shopify_orders", shop.new_folder(), shop.new_folder()
@@ -327,6 +356,9 @@ def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
         "stored_marts": _stored_marts,
         "live_daily_revenue": _live_daily_revenue,
         "live_corrected_revenue": _live_corrected_revenue,
+        "incremental_revenue_summary": lambda s: _incremental(s, "kpi_revenue_summary"),
+        "incremental_daily_snapshot": lambda s: _incremental(s, "kpi_daily_snapshot"),
+        "incremental_platform_overview": lambda s: _incremental(s, "kpi_platform_overview"),
         "upsert_raw": _upsert_raw,
         "upsert_items": _upsert_items,
     }

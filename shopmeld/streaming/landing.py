@@ -23,6 +23,11 @@ def latest_per_key(df: DataFrame, key: str, changed: str | None) -> DataFrame:
     return df.groupBy(key).agg(newest).select(key, "_row.*").select(*df.columns)
 
 
+def land_batch(rows: DataFrame, target: str, table: str, batch: int) -> None:
+    """Store the latest version per key of one batch; the same batch again replaces itself."""
+    latest_per_key(rows, *RAW_KEYS[table]).write.mode("overwrite").parquet(f"{target}/{table}/{BATCH}={batch}")
+
+
 def upsert_raw(
     changes: DataFrame, target: str, table: str, checkpoint: str, refresh: str | None = None
 ) -> StreamingQuery:
@@ -31,11 +36,9 @@ def upsert_raw(
     Each batch is reduced to its latest version per key and stored in a folder of its own, so a
     batch costs its own size only, and one that is repeated after a failure replaces itself.
     """
-    key, changed = RAW_KEYS[table]
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        rows = latest_per_key(batch, key, changed)
-        rows.write.mode("overwrite").parquet(f"{target}/{table}/{BATCH}={batch_id}")
+        land_batch(batch, target, table, batch_id)
 
     writer = changes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(land)
     trigger = {"availableNow": True} if refresh is None else {"processingTime": refresh}
