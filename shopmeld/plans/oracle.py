@@ -984,6 +984,28 @@ def queries() -> dict[str, str]:
     sql["incremental_revenue_summary"] = _plain(REVENUE_KINDS, "kpi_revenue_summary_changed")
     sql["incremental_daily_snapshot"] = _plain(DAILY_KINDS, "kpi_daily_snapshot_changed")
     sql["incremental_platform_overview"] = _plain(OVERVIEW_KINDS, "kpi_platform_overview_changed")
+    lines = "raw_amazon_order_items WHERE quantity_ordered >= 40 AND item_price IS NOT NULL"
+    sql["staging_rejects"] = f"""
+        SELECT * FROM (
+            SELECT 'stg_amazon_orders' AS model, 'order_total' AS column_name, 'unreadable' AS reason, COUNT(*) AS n_rows
+            FROM raw_amazon_orders WHERE order_status = 'Canceled' AND order_total IS NOT NULL
+            UNION ALL SELECT 'stg_amazon_orders', 'order_total', 'no number: Amount', COUNT(*)
+            FROM raw_amazon_orders WHERE order_status = 'Pending'
+            UNION ALL SELECT 'stg_amazon_order_items', 'item_price', 'unreadable', COUNT(*) FROM {lines})
+        WHERE n_rows > 0"""
+    sql["dq_readable"] = f"""
+        SELECT v.model, v.column_name, 'readable' AS test, CASE v.column_name
+            WHEN 'order_total' THEN (SELECT COUNT(*) FROM raw_amazon_orders
+                WHERE order_status = 'Pending' OR order_status = 'Canceled' AND order_total IS NOT NULL)
+            WHEN 'item_price' THEN (SELECT COUNT(*) FROM {lines}) ELSE 0 END AS failures
+        FROM (VALUES ('stg_shopify_products', 'variants'), ('stg_shopify_products', 'images'),
+            ('stg_shopify_customers', 'default_address'), ('stg_amazon_orders', 'order_total'),
+            ('stg_amazon_order_items', 'item_price'), ('stg_amazon_order_items', 'promotion_discount')) v(model, column_name)"""
+    sql["staged_with_rejects"] = f"""
+        SELECT fulfillment_status, COUNT(*) AS orders,
+            COUNT(CASE WHEN fulfillment_status NOT IN ('Canceled', 'Pending') THEN total_amount END) AS amounts,
+            {_dbl("SUM(CASE WHEN fulfillment_status NOT IN ('Canceled', 'Pending') THEN total_amount END)")} AS total_amount
+        FROM stg_amazon_orders GROUP BY fulfillment_status"""
     sql["stored_marts"] = _plain(
         REVENUE_KINDS, "kpi_revenue_summary"
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 from collections.abc import Callable, Mapping
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from shopmeld.operators import (
     products,
     profitability,
     quality,
+    rejects,
 )
 from shopmeld.operators.intermediate import order_items_of, orders_of, with_platform_info
 from shopmeld.operators.staging import STAGING, stage
@@ -253,6 +254,34 @@ def changed_loads(raw: Mapping[str, DataFrame]) -> list[dict[str, DataFrame]]:
     ]
 
 
+def spoiled(raw: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """Raw tables with payloads cut off (cancelled Amazon orders, one of each size of order lines) or without
+    a number (pending Amazon orders)."""
+    total, status = F.col("order_total"), F.col("order_status")
+    orders = F.when(status == "Canceled", F.substring(total, 1, 7)).when(
+        status == "Pending", F.lit('{"Amount": "n/a", "CurrencyCode": "USD"}')
+    )
+    lines = F.when(F.col("quantity_ordered") >= 40, F.substring("item_price", 1, 7)).otherwise(F.col("item_price"))
+    return dict(raw) | {
+        "amazon_orders": raw["amazon_orders"].withColumn("order_total", orders.otherwise(total)),
+        "amazon_order_items": raw["amazon_order_items"].withColumn("item_price", lines),
+    }
+
+
+def _staging_rejects(shop: Shop) -> DataFrame:
+    raw = spoiled(shop.raw)
+    found = (rejects.rejects(raw, model) for model in rejects.reject_models())
+    return reduce(DataFrame.unionByName, found).groupBy("model", "column_name", "reason").agg(F.count("*").alias("n_rows"))
+
+
+def _staged_with_rejects(shop: Shop) -> DataFrame:
+    """Orders of spoiled payloads are staged without their amounts."""
+    staged = stage(rejects.ReadableRaw(spoiled(shop.raw)), "stg_amazon_orders")
+    return staged.groupBy("fulfillment_status").agg(
+        F.count("*").alias("orders"), F.count("total_amount").alias("amounts"), F.sum("total_amount").alias("total_amount")
+    )
+
+
 def _incremental(shop: Shop, name: str) -> DataFrame:
     """The loads land one after the other, and the marts are brought up to date after each."""
     landed = shop.new_folder()
@@ -349,6 +378,9 @@ def _builders() -> dict[str, Callable[[Shop], DataFrame]]:
             s.orders, "fulfillment_status", config.FULFILLED_STATUSES
         ),
         "dq_suite": _dq_suite,
+        "dq_readable": lambda s: rejects.reject_report(spoiled(s.raw)),
+        "staging_rejects": _staging_rejects,
+        "staged_with_rejects": _staged_with_rejects,
         "dq_observed": _dq_observed,
         "fmt_platforms": _fmt_platforms,
         "fmt_dashboard": _fmt_dashboard,

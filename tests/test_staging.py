@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from decimal import Decimal as D
 
 import pytest
 from conftest import day, moment
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shopmeld import config
 from shopmeld.functions import columns as C
-from shopmeld.operators import staging
+from shopmeld.operators import rejects, staging
 from shopmeld.operators.intermediate import unified_orders, with_platform_info
 from shopmeld.schemas import ORDER_COLUMNS, ORDER_ITEM_COLUMNS, RAW_SCHEMAS
 from shopmeld.sources.raw import platform_mappings
@@ -179,3 +180,29 @@ def test_raw_schemas_parse(spark):
     assert len(RAW_SCHEMAS) == 13
     for ddl in RAW_SCHEMAS.values():
         assert spark.createDataFrame([], ddl).columns
+
+
+def test_payloads_that_cannot_be_read_are_rejected(spark, raw_rows):
+    texts = ['{"Amount": "1.50", "CurrencyCode": "USD"}', None, "null", '{"Amount": null}', "{}", '{"Amount": ', "oops", "[1]", '{"Amount": "n/a"}', '{"Amount": "99999999999999"}']
+    raw = {
+        "amazon_orders": raw_rows("amazon_orders", *({"amazon_order_id": str(i), "order_total": t} for i, t in enumerate(texts))),
+        "amazon_order_items": raw_rows("amazon_order_items", {"order_item_id": "a", "item_price": "{", "promotion_discount": '{"Amount": "x"}'}),
+        "shopify_products": raw_rows("shopify_products", {"id": 1, "variants": '[{"price": "2"}]', "images": "[]"}, {"id": 2, "variants": '[{"price": "two"}]', "images": "[{"}),
+        "shopify_customers": raw_rows("shopify_customers", {"id": 5, "default_address": "{"}, {"id": 6}),
+    }
+    found = {m: {(r.row_key, r.column_name): r.reason for r in rejects.rejects(raw, m).collect()} for m in rejects.reject_models()}
+    assert found == {
+        "stg_amazon_orders": {
+            **{(i, "order_total"): "unreadable" for i in "567"},
+            **{(i, "order_total"): "no number: Amount" for i in "89"},
+        },
+        "stg_amazon_order_items": {("a", "item_price"): "unreadable", ("a", "promotion_discount"): "no number: Amount"},
+        "stg_shopify_products": {("2", "variants"): "no number: price", ("2", "images"): "unreadable"},
+        "stg_shopify_customers": {("5", "default_address"): "unreadable"},
+    }
+    report = {(r.model, r.column_name): r.failures for r in rejects.reject_report(raw).collect()}
+    assert report == {(m, p.column): sum(c == p.column for _, c in found[m]) for m in found for p in rejects.PAYLOADS[staging.STAGING[m][0]]}
+    readable = rejects.ReadableRaw(raw)
+    amounts = {r.order_id: r.total_amount for r in staging.stage(readable, "stg_amazon_orders").collect()}
+    assert amounts == {"0": D("1.50"), **{str(i): None for i in range(1, 10)}}
+    assert staging.stage(readable, "stg_shopify_products").count() == 2 and len(readable) == len(raw)
