@@ -15,27 +15,33 @@ import random
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import product
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ship, whole
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
-    r"|<(script|style|noscript|template|textarea|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-    re.S | re.I,
-)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: What can begin markup: an end or start tag, a comment or another declaration. Any other "<" is text.
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*)|[!?/])")
+#: The usual tag without attributes ends at once.
+BARE = re.compile(r"\s*>")
+#: One attribute: a name, and a value in quotes, or without them up to white space or the end of the tag.
+ATTRIBUTE = re.compile(r"[\s/]*+(?:(=?[^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)(\"|\Z)|'([^']*+)('|\Z)|([^\s>]++)?))?+)?+")
+COMMENT_END = re.compile("--!?>")
+#: Elements whose inside is text without tags, up to their own end tag.
+RAW = frozenset("script style textarea title".split())
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 INLINE = frozenset(
     "a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 #: head holds void and skipped elements only; like in browsers, anything else in it belongs to the body.
 VOID = frozenset("area base br col embed head hr img input link meta param source track wbr".split())
 #: Elements whose inside is no text. One that is never closed loses its tag alone.
-DROPPED = frozenset("svg iframe select object canvas".split())
+DROPPED = frozenset("svg iframe select object canvas noscript template".split())
 DROPPED_START = re.compile("<(?:" + "|".join(sorted(DROPPED)) + r")\b", re.I)
 #: Lists of choices: their text lasts until the next tag.
 OPTIONS = frozenset("option optgroup".split())
@@ -57,6 +63,8 @@ WORD_GROUPS = {
     "main": "content article main post entry story text body page-content post-content article-body prose",
 }
 GROUP_OF = {w: g for g, words in WORD_GROUPS.items() for w in words.split()}
+#: Elements that mark a part of the page by their name.
+MARK_OF = {f"tag:{t}": g for g, tags in {"main": "article main", "other": "nav header footer aside form button"}.items() for t in tags.split()}
 #: Elements that end an open element of the same kind.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
@@ -69,20 +77,94 @@ class Tree:
     features: list[list[str]] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
     marks: list[bool] = field(default_factory=list)  # of a training page: inside data-main
+    bare: bool = False  # nothing is marked as the main part
+
+
+class Token(NamedTuple):
+    """A tag, or other markup without a name, from start to end. words: values of class, id and role."""
+
+    start: int
+    end: int
+    name: str | None = None
+    closing: bool = False
+    alone: bool = False  # <name/>
+    words: tuple[str, ...] = ()
+    main: bool = False  # carries data-main
+
+
+def _tag(page: str, m: re.Match[str]) -> Token:
+    """A tag up to its ">"; one that the page ends in reaches to the end, as in browsers."""
+    name, closing = m[2].lower(), bool(m[1])
+    bare = BARE.match(page, m.end())
+    if bare:
+        return Token(m.start(), bare.end(), name, closing)
+    at, words, main = m.end(), [], False
+    while at < len(page) and page[at] != ">":
+        x = ATTRIBUTE.match(page, at)
+        if x.end() == at:  # a lone "="
+            at += 1
+            continue
+        at = x.end()
+        if x[1]:
+            key = x[1].lower()
+            if key in ("class", "id", "role"):
+                words.append(x[2] or x[4] or x[6] or "")
+            main = main or key == "data-main"
+    alone = at < len(page) and page[at - 1] == "/"
+    return Token(m.start(), min(at + 1, len(page)), name, closing, alone, tuple(words), main)
+
+
+def _after(page: str, mark: str, at: int) -> int:
+    found = page.find(mark, at)
+    return len(page) if found < 0 else found + len(mark)
+
+
+def tokens_of(page: str) -> list[Token]:
+    """The markup of a page in order, by the states of the HTML tokenizer; one pass, each character is met a
+    bounded number of times. An element of RAW with its inside is one token; where title or textarea are never
+    closed, their tag alone."""
+    found: list[Token] = []
+    unclosed: set[str] = set()
+    at = 0
+    while m := OPEN.search(page, at):
+        start = m.start()
+        if m[2] is None:  # comment, declaration, or an end tag without a name
+            if not page.startswith("<!--", start):
+                at = _after(page, ">", start)
+            elif page.startswith((">", "->"), start + 4):
+                at = _after(page, ">", start + 4)
+            else:
+                end = COMMENT_END.search(page, start + 4)
+                at = end.end() if end else len(page)
+            found.append(Token(start, at))
+            continue
+        token = _tag(page, m)
+        at = token.end
+        if token.name in RAW and not token.closing:
+            end = None if token.name in unclosed else RAW_END[token.name].search(page, at)
+            if end:
+                at = _after(page, ">", end.end())
+            elif token.name in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(token.name)
+            token = Token(start, at)
+        found.append(token)
+    return found
 
 
-def _dropped(tokens: list[re.Match[str]]) -> dict[int, int]:
+def _dropped(tokens: list[Token]) -> dict[int, int]:
     """Start and end tag, as token numbers, of each closed element of DROPPED. The end of an element around
     it ends an unclosed one, so that a later end tag is not taken for its own."""
     opened: list[tuple[str, int]] = []
     count: dict[str, int] = {}
     found = {}
-    for i, m in enumerate(tokens):
-        name = (m[3] or "").lower()
+    for i, t in enumerate(tokens):
+        name = t.name
         if not name or name in INLINE or name in VOID:
             continue
-        if not m[2]:
-            if not m[4].endswith("/"):
+        if not t.closing:
+            if not t.alone:
                 opened.append((name, i))
                 count[name] = count.get(name, 0) + 1
         elif count.get(name):
@@ -115,29 +197,27 @@ def parse(page: str) -> Tree:
                 chars[stack[-1]] += len(text)
 
     at, past, hidden = 0, -1, False
-    tokens = list(TOKEN.finditer(page))
+    tokens = tokens_of(page)
     dropped = _dropped(tokens) if DROPPED_START.search(page) else {}
-    for i, m in enumerate(tokens):
+    for i, token in enumerate(tokens):
         if i <= past:
-            at = m.end()
+            at = token.end
             continue
-        if m.start() > at and not hidden:
-            raw = page[at : m.start()]
+        if token.start > at and not hidden:
+            raw = page[at : token.start]
             held.append(raw)
             if links:
                 linked[stack[-1]] += len(raw.strip())
-        at = m.end()
-        name = m[3]
+        at, name = token.end, token.name
         if name is None:
             continue
-        name = name.lower()
-        hidden = name in OPTIONS and not m[2]
+        hidden = name in OPTIONS and not token.closing
         if name in DROPPED or name in OPTIONS:
             past = dropped.get(i, past)
             continue
         if name in INLINE:
             if name == "a":
-                links = 0 if m[2] else 1
+                links = 0 if token.closing else 1
             continue
         if name in VOID:
             if name in ("br", "hr"):
@@ -147,7 +227,7 @@ def parse(page: str) -> Tree:
             continue
         flush()
         links = 0
-        if m[2]:
+        if token.closing:
             if name in tags:
                 while tags.pop() != name:
                     stack.pop()
@@ -161,13 +241,12 @@ def parse(page: str) -> Tree:
         tree.parents.append(stack[-1])
         own = ["tag:" + ("h" if name in HEADINGS else name if name in OWN_FEATURE else "other")]
         groups = set()
-        if m[4]:
-            for value in NAMES.findall(m[4]):
-                for word in re.split(r"[\s_]+", "".join(value).lower()):
-                    groups |= {GROUP_OF[w] for w in (word, *word.split("-")) if w in GROUP_OF}
+        for value in token.words:
+            for word in re.split(r"[\s_]+", value.lower()):
+                groups |= {GROUP_OF[w] for w in (word, *word.split("-")) if w in GROUP_OF}
         own += sorted("is:" + g for g in groups)
         tree.features.append(own)
-        tree.marks.append(tree.marks[stack[-1]] or "data-main" in (m[4] or ""))
+        tree.marks.append(tree.marks[stack[-1]] or token.main)
         chars.append(0)
         linked.append(0)
         stack.append(node)
@@ -179,10 +258,18 @@ def parse(page: str) -> Tree:
     for v in range(len(chars) - 1, 0, -1):
         below[tree.parents[v]] += below[v]
         below_linked[tree.parents[v]] += below_linked[v]
+    # A page where nothing is marked as the main part is judged by weights of its own.
+    marked = {MARK_OF.get(own[0]) for own in tree.features} | {f[3:] for own in tree.features for f in own if f.startswith("is:")}
+    tree.bare = "main" not in marked
+    other = [False] * len(chars)
     for v, own in enumerate(tree.features):
         own.append(f"own:{min(6, chars[v].bit_length() // 2)}")
         own.append(f"all:{min(6, below[v].bit_length() // 2)}")
         own.append(f"links:{min(4, 5 * below_linked[v] // max(1, below[v]))}")
+        if tree.bare:
+            other[v] = v > 0 and other[tree.parents[v]] or own[0] in MARK_OF or any(f.startswith("is:") for f in own)
+            own.append("other" if other[v] else "plain")
+            own[:] = ["bare:" + f for f in own]
     return tree
 
 
@@ -192,15 +279,15 @@ def _add(a: float, b: float) -> float:
 
 
 class Model:
-    """Weights of the features for content, and of the four parent-child label pairs."""
+    """Weights of the features for content, and of the four parent-child label pairs on marked and on bare pages."""
 
     def __init__(self) -> None:
         self.weights: dict[str, float] = {}
-        self.pair = [[0.0, 0.0], [0.0, 0.0]]  # [parent][child]
+        self.pair = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)]  # [bare page][parent][child]
 
     def marginals(self, tree: Tree) -> tuple[list[float], list[list[list[float]]]]:
         """P(content) of every node, and P(parent, child) of every node's edge to its parent."""
-        weights, pair, parents = self.weights, self.pair, tree.parents
+        weights, pair, parents = self.weights, self.pair[tree.bare], tree.parents
         n = len(parents)
         inside = [[0.0, sum(weights.get(f, 0.0) for f in own)] for own in tree.features]
         up = [(0.0, 0.0)] * n
@@ -228,26 +315,26 @@ class Model:
         scale: dict[object, float] = {}
         for _ in range(rounds):
             gain: dict[str, float] = {}
-            pairs = [[0.0, 0.0], [0.0, 0.0]]
+            pairs = [[[0.0, 0.0], [0.0, 0.0]] for _ in range(2)]
             for tree, labels in pages:
+                own_pairs = pairs[tree.bare]
                 content, edges = self.marginals(tree)
                 for own, p, y in zip(tree.features, content, labels, strict=True):
                     for f in own:
                         gain[f] = gain.get(f, 0.0) + y - p
                 for v in range(1, len(labels)):
-                    pairs[labels[tree.parents[v]]][labels[v]] += 1
+                    own_pairs[labels[tree.parents[v]]][labels[v]] += 1
                     for p in (0, 1):
                         for c in (0, 1):
-                            pairs[p][c] -= edges[v][p][c]
+                            own_pairs[p][c] -= edges[v][p][c]
             for f, g in gain.items():
                 g -= decay * len(pages) * self.weights.get(f, 0.0)
                 scale[f] = scale.get(f, 1e-6) + g * g
                 self.weights[f] = self.weights.get(f, 0.0) + step * g / math.sqrt(scale[f])
-            for p in (0, 1):
-                for c in (0, 1):
-                    g = pairs[p][c] - decay * len(pages) * self.pair[p][c]
-                    scale[p, c] = scale.get((p, c), 1e-6) + g * g
-                    self.pair[p][c] += step * g / math.sqrt(scale[p, c])
+            for k, p, c in product((0, 1), repeat=3):
+                g = pairs[k][p][c] - decay * len(pages) * self.pair[k][p][c]
+                scale[k, p, c] = scale.get((k, p, c), 1e-6) + g * g
+                self.pair[k][p][c] += step * g / math.sqrt(scale[k, p, c])
         return self
 
     def text(self, page: str) -> str:
@@ -256,8 +343,11 @@ class Model:
         return "\n".join(text for v, text in tree.blocks if content[v] > 0.5)
 
 
-def labelled_pages(n: int, seed: int = 7) -> list[str]:
-    """Training pages; the article carries data-main. Layouts, wrappers and surroundings vary by the seed."""
+def labelled_pages(n: int, seed: int = 7, bare: bool = False) -> list[str]:
+    """Training pages; the article carries data-main. Layouts, wrappers and surroundings vary by the seed.
+
+    On bare pages its blocks stand in the page, or in a div of it, without any wrapper of their own.
+    """
     r = random.Random(seed)
 
     def words(a: int, b: int) -> str:
@@ -315,7 +405,12 @@ def labelled_pages(n: int, seed: int = 7) -> list[str]:
             inner.insert(r.randint(0, len(inner)), clutter)
         text = "".join(inner)
         wrap = r.random()
-        if wrap < 0.45:
+        if bare:
+            main = re.sub(r"<(h1|h2|p|ul|blockquote|table|pre)>(?!<p>)", r"<\1 data-main>", text)
+            main = re.sub(r"<blockquote><p data-main>", "<blockquote data-main><p>", main)
+            if wrap < 0.4:
+                main = f"<div>{main}</div>"
+        elif wrap < 0.45:
             main = f"<article data-main>{text}</article>"
         elif wrap < 0.6:
             main = f"<main><article data-main>{text}</article></main>"
@@ -343,10 +438,39 @@ def _labels(tree: Tree, page: str) -> list[bool]:
     return [a and not b for a, b in zip(tree.marks, cut.marks, strict=True)]
 
 
+BARE_LAYOUTS = (
+    "{}",
+    "{}",
+    "{}<br>{}",
+    "{}<!-- -->",
+    "<html><body>{}</body></html>",
+    "<body>{}<br>{}",
+    "<p>{}</p>",
+    "<html><body><p>{}</p></body></html>",
+    "<h1>{}</h1><p>{}</p>",
+    "<html><body><div><h1>{}</h1><p>{}</p><p>{}</p></div></body></html>",
+    "<div><p>{}</p></div>",
+    "<div>{}</div>",
+    "<body><ul><li>{}</li><li>{}</li></ul></body>",
+)
+
+
+def bare_pages(n: int, seed: int = 8) -> list[tuple[Tree, list[bool]]]:
+    """Pages that are text alone, without markup or in a body without blocks: the node that holds it is content."""
+    r, found = random.Random(seed), []
+    for _ in range(n):
+        text = " ".join("w" * r.randint(1, 9) for _ in range(r.choice([2, 9, 40, 200, 900])))
+        layout = r.choice(BARE_LAYOUTS)
+        tree = parse(layout.replace("{}", text))
+        held = {v for v, _ in tree.blocks}
+        found.append((tree, [v in held for v in range(len(tree.parents))]))
+    return found
+
+
 def trained(pages: int = 200) -> Model:
-    made = labelled_pages(pages)
+    made = labelled_pages(pages) + labelled_pages(pages // 3, 9, bare=True)
     trees = [parse(p) for p in made]
-    return Model().fit([(t, _labels(t, p)) for t, p in zip(trees, made, strict=True)])
+    return Model().fit([(t, _labels(t, p)) for t, p in zip(trees, made, strict=True)] + bare_pages(pages // 3))
 
 
 def _extract(shared):
@@ -367,14 +491,14 @@ def main_text(
 ) -> DataFrame:
     """Per row: id, url, text, n_chars (code points).
 
-    Null and empty html, and pages without content, have an empty text. Plain text without markup stands in
-    the root alone and is judged by the root's evidence. Rows that repeat an id stay rows of their own.
+    Null and empty html, and pages without content, have an empty text. Plain text without markup is content.
+    Time grows with the length of a page, also where quotes or comments are left open. Rows that repeat an id stay rows of their own.
     """
     spark = pages.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model or trained())  # a few hundred weights
-    rows = pages.select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), whole(html_column).alias("_html"))
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("_id", "_url")]
-    return rows.mapInArrow(_extract(shared), f"_id {kinds[0]}, _url {kinds[1]}, text string, n_chars bigint").withColumnsRenamed(
-        {"_id": id_column, "_url": url_column}
+    rows = pages.select(
+        F.col(f"`{id_column}`").alias("_id"), F.col(f"`{url_column}`").alias("_url"), whole(html_column).alias("_html")
     )
+    found = StructType([rows.schema["_id"], rows.schema["_url"]]).add("text", "string").add("n_chars", "long")
+    return rows.mapInArrow(_extract(shared), found).withColumnsRenamed({"_id": id_column, "_url": url_column})
