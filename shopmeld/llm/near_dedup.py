@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes import mix, odd_numbers, shingles, steps, text_bytes, word_hashes
-from .common import ship, stored, whole
+from .common import packed_row, ship, stored, whole
 from .components import connected_components
 
 COLLECTIONS = 20
@@ -150,6 +150,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, sketches: DataFrame, si
     )
     rows = docs.select(ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text"))
     texts = rows.join(chosen, (rows["_hash"] == chosen["_ohash"]) & rows["_id"].eqNullSafe(chosen["_oid"]))
+    texts = texts.dropDuplicates(["_set"])  # rows may be repeated
     return texts.select("_set", "_text").mapInArrow(_sets(size), "_set binary, _hashes array<bigint>")
 
 
@@ -215,8 +216,8 @@ def near_duplicates(
     there is none. No rows give no rows.
     """
     ship(docs.sparkSession)
-    text, ids = whole(text_column), F.col(id_column)
-    kind = docs.select(id_column).schema[0].dataType.simpleString()
+    text, ids = whole(text_column), F.col(f"`{id_column}`")
+    kind = docs.schema[id_column].dataType.simpleString()
     sketches = stored(
         docs.select(ids.alias("_id"), F.xxhash64(text).alias("_hash"), text.alias("_text")).mapInArrow(
             _sketch(size, collections, rows),
@@ -266,8 +267,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """
     kept = near_duplicates(docs, id_column=id_column, text_column=text_column, **options).where("kept")
     names = docs.columns
-    rows = docs.select(F.struct(*names).alias("_row"), F.col(id_column).alias("_id"))
-    wanted = kept.select(F.col(id_column).alias("_kid")).where("_kid is not null").distinct()
+    rows = docs.select(packed_row(names), F.col(f"`{id_column}`").alias("_id"))
+    wanted = kept.select(F.col(f"`{id_column}`").alias("_kid")).where("_kid is not null").distinct()
     alone = rows.where("_id is null")
     one = rows.join(wanted, rows["_id"] == wanted["_kid"]).dropDuplicates(["_id"])
     return one.select("_row").unionByName(alone.select("_row")).select(
