@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for, stored, whole
+from .common import packed_row, partitions_for, stored, whole
 
 #: Deepest directory: 2^20 slots of 12 bytes can be broadcast at any size of the corpus.
 MAX_DEPTH = 20
@@ -68,7 +68,7 @@ def build_index(
     spark = docs.sparkSession
     text = whole(text_column)
     entries = stored(
-        docs.select(F.col(id_column).alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
+        docs.select(F.col(f"`{id_column}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_key"))
         .groupBy("_key", "_text")
         .agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
         .select("_key", F.sha2("_text", 256).alias("text_sha256"), "keep_id", "group_size"),
@@ -101,7 +101,7 @@ def exact_dedup(
     text = whole(text_column)
     rows = (
         docs.select(
-            F.col(id_column).alias(id_column),
+            F.col(f"`{id_column}`").alias(id_column),
             F.xxhash64(text).alias("_key"),
             F.sha2(text, 256).alias("text_sha256"),
         )
@@ -109,10 +109,10 @@ def exact_dedup(
         .join(F.broadcast(slots), "_slot")
     )
     return rows.join(index, ["_bucket", "_key", "text_sha256"]).select(
-        id_column,
+        f"`{id_column}`",
         "keep_id",
         "group_size",
-        F.col(id_column).eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col(f"`{id_column}`").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
     )
 
@@ -121,13 +121,9 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """The documents that stay, one row per distinct text, with all their columns."""
     kept = exact_dedup(docs, id_column, text_column).where("kept")
     names = docs.columns
-    rows = docs.select(
-        F.struct(*names).alias("_row"),
-        F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_id"),
-        F.sha2(whole(text_column), 256).alias("_sha"),
-    )
-    wanted = kept.select(
-        F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_sha")
-    ).distinct()
+    # A null id is no empty id.
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{id_column}`").cast("string")), F.lit("")).alias("_id")
+    rows = docs.select(packed_row(names), key, F.sha2(whole(text_column), 256).alias("_sha"))
+    wanted = kept.select(key, F.col("text_sha256").alias("_sha")).distinct()
     one = rows.join(wanted, ["_id", "_sha"]).dropDuplicates(["_id", "_sha"])
     return one.select(*[F.col("_row").getField(c).alias(c) for c in names])

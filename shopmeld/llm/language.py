@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .bytes import lower_ascii, steps, text_bytes
-from .common import ship, whole
+from .common import packed_row, ship, whole
 
 #: Trigrams are hashed to this many places, so a language takes 512 KB in every task.
 PLACES = 1 << 16
@@ -117,8 +118,8 @@ class LanguageModel:
 def fit(labelled: DataFrame, lang_column: str = "lang", text_column: str = "text") -> LanguageModel:
     """A model from every row with a text and a language; other rows teach nothing."""
     ship(labelled.sparkSession)
-    rows = labelled.where(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(
-        F.col(lang_column).cast("string").alias("_lang"), F.col(text_column).alias("_text")
+    rows = labelled.where(F.col(f"`{lang_column}`").isNotNull() & F.col(f"`{text_column}`").isNotNull()).select(
+        F.col(f"`{lang_column}`").cast("string").alias("_lang"), F.col(f"`{text_column}`").alias("_text")
     )
     summed = (
         rows.mapInArrow(_counts, "_lang string, _place int, _n bigint")
@@ -177,22 +178,21 @@ def predict(docs: DataFrame, model: LanguageModel, text_column: str = "text", kn
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # at most MAX_LANGUAGES tables
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_column).alias("_text"))
-    kind = rows.schema["_row"].dataType.simpleString()
-    more = ", _known double" if known else ""
-    return rows.mapInArrow(_predict(shared, known), f"_row {kind}, _pred string, _score double, _langs string{more}")
+    rows = docs.select(packed_row(docs.columns), F.col(f"`{text_column}`").alias("_text"))
+    found = StructType([rows.schema["_row"]]).add("_pred", "string").add("_score", "double").add("_langs", "string")
+    return rows.mapInArrow(_predict(shared, known), found.add("_known", "double") if known else found)
 
 
 def held_out(id_column: str | Column = "doc_id") -> Column:
     """Rows kept out of learning: crc32 of the id as text is 2 modulo 4. A null id counts as empty text."""
-    column = F.col(id_column) if isinstance(id_column, str) else id_column
+    column = F.col(f"`{id_column}`") if isinstance(id_column, str) else id_column
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
 def language_id(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
     """Per row: id, held_out, lang_pred, score, langs; learnt from the rows that are not held out."""
     model = fit(docs.where(~held_out(id_column)), lang_column, text_column)
-    narrow = docs.select(F.col(id_column), F.col(text_column))
+    narrow = docs.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
     row = F.col("_row").getField
     return predict(narrow, model, text_column).select(
         row(id_column).alias(id_column),
