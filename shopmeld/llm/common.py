@@ -43,11 +43,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, folder: str | None = None, codec: str | None = None) -> DataFrame:
     """The rows written to a shared table and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     folder = folder or scratch(spark, name)
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=codec)
     return spark.read.schema(df.schema).parquet(folder)
 
 

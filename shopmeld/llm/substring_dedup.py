@@ -348,6 +348,8 @@ def _cut(length: int):
 
 #: Context bytes of a shard.
 SHARD_BYTES = 1 << 20
+#: Of the stage tables, which hold the texts twice.
+CODEC = "zstd"
 
 
 def repeated_bytes(
@@ -363,20 +365,23 @@ def repeated_bytes(
     texts = stored(
         docs.select(F.xxhash64(text).alias("_doc"), text.alias("_text")).groupBy("_doc", "_text").agg(F.count("*").alias("_n")),
         "substring-texts",
+        codec=CODEC,
     )
     rows = stored(
         texts.select("_doc", "_text").mapInArrow(
             _anchor_rows(length), "_h bigint, _context bigint, _doc bigint, _first int, _last int"
         ),
         "substring-anchors",
+        codec=CODEC,
     )
     kinds = rows.groupBy("_h", "_context").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_first", "_last")).alias("_one"))
     several = kinds.groupBy("_h").agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds")).where("_all > 1")
-    shared = stored(kinds.join(several, "_h").select("_h", "_context", "_n", "_kinds", "_one.*"), "substring-kinds")
+    shared = stored(kinds.join(several, "_h").select("_h", "_context", "_n", "_kinds", "_one.*"), "substring-kinds", codec=CODEC)
     met = shared.where("_kinds > 1")
     part = F.expr(f"substring(cast(_text as binary), _first + 1, _last - _first + {length})")
     contexts = stored(
-        met.join(texts.select("_doc", "_text"), "_doc").select("_h", "_context", "_n", part.alias("_bytes")), "substring-contexts"
+        met.join(texts.select("_doc", "_text"), "_doc").select("_h", "_context", "_n", part.alias("_bytes")), "substring-contexts",
+        codec=CODEC,
     )
     sizes = met.groupBy("_h").agg(F.sum(F.col("_last") - F.col("_first") + length).alias("_size"))
     n_bytes, n_split = sizes.agg(F.sum("_size"), F.count_if(F.col("_size") > shard_bytes)).first()
@@ -392,7 +397,7 @@ def repeated_bytes(
     whole_runs = shared.where("_n > 1").select(
         "_h", "_context", F.lit(0).cast("long").alias("_from"), (F.col("_last") - F.col("_first")).cast("long").alias("_to")
     )
-    spans = stored(whole_runs.unionByName(found.join(single, ["_h", "_context"], "left_semi")), "substring-runs")
+    spans = stored(whole_runs.unionByName(found.join(single, ["_h", "_context"], "left_semi")), "substring-runs", codec=CODEC)
     marks = (
         rows.join(spans, ["_h", "_context"])
         .groupBy("_doc")
@@ -401,7 +406,7 @@ def repeated_bytes(
     results = texts.join(marks, "_doc", "left").select("_doc", "_text", "_n", "_marks").mapInArrow(
         _cut(length), "_doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
-    results = stored(results, "substring-results")
+    results = stored(results, "substring-results", codec=CODEC)
     return docs.select(F.col(id_column), F.xxhash64(text).alias("_doc")).join(results, "_doc").select(
         id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"
     )

@@ -13,6 +13,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,20 +38,22 @@ def _digest(payload: bytes) -> str:
 def record_bytes(page_id, url: str | None, payload: bytes, refers_to) -> bytes:
     """One WARC/1.1 record. A revisit keeps the HTTP head alone, whose Content-Length is the payload's.
 
-    Line breaks and other controls in a URL are percent-encoded; without a URL there is no target header.
+    Line breaks and other controls in a URL are percent-encoded, and so is all but letters, digits and "_.-~" in
+    an id; without a URL there is no target header, without an id no record id.
     """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     revisit = refers_to is not None
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
         f"WARC-Date: {DATE}",
     ]
+    if page_id is not None:
+        head.append(f"WARC-Record-ID: <urn:page:{quote(str(page_id), safe='')}>")
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:page:{quote(str(refers_to), safe='')}>"]
     block = http if revisit else http + payload
     head += [
         f"WARC-Payload-Digest: sha1:{_digest(payload)}",
@@ -110,11 +113,12 @@ def write_warc(
     """
     ship(pages.sparkSession)
     html = whole(html_column)
-    kind = pages.select(id_column).schema[0].dataType.simpleString()
-    rows = pages.select(F.col(id_column).alias("_id"), F.col(url_column).alias("_url"), html.alias("_html"), F.sha2(html, 256).alias("_sha"))
+    kind = pages.schema[id_column].dataType.simpleString()
+    ids = F.col(f"`{id_column}`").alias("_id")
+    rows = pages.select(ids, F.col(f"`{url_column}`").alias("_url"), html.alias("_html"), F.sha2(html, 256).alias("_sha"))
     # narrow: of each payload only its digest moves, folded before the shuffle
     shared = (
-        pages.select(F.sha2(html, 256).alias("_sha"), F.col(id_column).alias("_id"))
+        pages.select(F.sha2(html, 256).alias("_sha"), ids)
         .groupBy("_sha")
         .agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1")
@@ -152,8 +156,10 @@ def byte_ranges(index: DataFrame, gap: int = GAP_BYTES, most: int = RANGE_BYTES)
 
 def _reader(folder: str, number: bool):
     def name(urn: str | None):
-        found = urn[len("<urn:page:") : -1] if urn else None
-        return None if found in (None, "None") else int(found) if number else found
+        if urn is None:
+            return None
+        found = unquote(urn[len("<urn:page:") : -1])
+        return int(found) if number else found
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -171,7 +177,7 @@ def _reader(folder: str, number: bool):
                         payload = found["payload"]
                         if len(payload) != n or _digest(payload) != digest:
                             raise ValueError(f"damaged record at {row['archive']}:{r['offset']}")
-                    out.append((name(found["warc-record-id"]), found.get("warc-target-uri"), n, digest, found["warc-type"], name(found.get("warc-refers-to")), payload))
+                    out.append((name(found.get("warc-record-id")), found.get("warc-target-uri"), n, digest, found["warc-type"], name(found.get("warc-refers-to")), payload))
                 columns = list(zip(*out, strict=True))
                 key = pa.int64() if number else pa.string()
                 kinds = (key, pa.string(), pa.int64(), pa.string(), pa.string(), key, pa.binary())

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shopmeld.llm import exact_dedup, near_dedup, token_files
 from shopmeld.llm.decontamination import contamination, decontaminate
 from shopmeld.llm.html_text import labelled_pages, parse, tokens_of, trained
+from shopmeld.llm.warc import warc_round_trip
 from shopmeld.llm.language import known_language, language_id
 
 LONG = "word " * 70
@@ -177,3 +178,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert held["decontamination"] == held["near_dedup"] - {22}
     assert held["packing"] == held["decontamination"]
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == held["packing"]
+
+
+def test_warc_keeps_any_id(spark):
+    ids = ["None", "", "a\r\nWARC-Type: x", "<b> %41 ä", "same", None, "None2"]
+    rows = [(i, None if k % 2 else "http://x/\n", "same text" if i in ("same", "None2") else f"p{k}", "c") for k, i in enumerate(ids)]
+    pages = spark.createDataFrame(rows, "`page id` string, url string, `h.t` string, archive string").repartition(2)
+    got = {r.page_id: r for r in warc_round_trip(pages, id_column="page id", html_column="h.t").collect()}
+    assert set(got) == set(ids) and got["same"].refers_to == "None2" and got["None"].record_type == "response"
