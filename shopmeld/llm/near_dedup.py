@@ -126,9 +126,9 @@ def _alike(x: str, y: str, percent: int) -> Column:
 
 
 def _first_shared(collections: int) -> Column:
-    """This table is the pair of the first two collections that agree; _tags: number << 32 | short key, in order."""
+    """This table is the pair of the first two collections whose whole keys agree."""
     return F.expr(
-        f"slice(transform(array_intersect(_tags_x, _tags), t -> cast(shiftright(t, 32) as int)), 1, 2)"
+        f"slice(filter(sequence(0, {collections - 1}), i -> get(_keys_x, i) = get(_keys, i)), 1, 2)"
         f" = array(cast(_table div {collections} as int), cast(_table % {collections} as int))"
     )
 
@@ -155,7 +155,7 @@ def _candidate_sets(docs: DataFrame, members: DataFrame, sketches: DataFrame, si
 
 
 def _links(buckets: DataFrame, traits: DataFrame, sets: DataFrame, percent: int, collections: int) -> DataFrame:
-    """Confirmed links (a, b) that span every component. traits: _set, _n, _bits, _tags."""
+    """Confirmed links (a, b) that span every component. traits: _set, _n, _bits, _keys."""
     to_centre = stored(
         buckets.where("_set <> _centre").select(F.col("_set").alias("a"), F.col("_centre").alias("b")).distinct(),
         "near-to-centre",
@@ -181,7 +181,7 @@ def _links(buckets: DataFrame, traits: DataFrame, sets: DataFrame, percent: int,
     # a pair at the threshold lies in one size class or in neighbouring ones; one more guards against rounding
     near_classes = F.explode(F.array(*[F.col("_class") + i for i in (-2, -1, 0, 1, 2)]))
     outside = sized.where("_of <> _main").select(
-        "_table", "_key", near_classes.alias("_class"), *[F.col(c).alias(f"{c}_x") for c in ("_of", "_set", "_n", "_bits", "_tags")]
+        "_table", "_key", near_classes.alias("_class"), *[F.col(c).alias(f"{c}_x") for c in ("_of", "_set", "_n", "_bits", "_keys")]
     )
     cross = (
         outside.join(sized, ["_table", "_key", "_class"])
@@ -236,9 +236,8 @@ def near_duplicates(
     sets = stored(
         _candidate_sets(docs, buckets.select("_set").distinct(), sketches, size, text, ids), "near-sets"
     )
-    tags = F.transform("_keys", lambda k, i: k.bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.shiftleft(i.cast("long"), 32)))
     traits = stored(
-        buckets.select("_set").distinct().join(sketches.select("_set", "_n", "_bits", tags.alias("_tags")), "_set").dropDuplicates(["_set"]),
+        buckets.select("_set").distinct().join(sketches.select("_set", "_n", "_bits", "_keys"), "_set").dropDuplicates(["_set"]),
         "near-traits",
     )
     links = stored(_links(buckets, traits, sets, percent, collections), "near-confirmed")
