@@ -35,8 +35,7 @@ def _pieces(tokenizer: str, end_id: int, capacity: int):
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids_column = batch.column("_id")
-            texts = batch.column("_text").to_pylist()
-            for start, stop, ids, begin in own.encode_steps(texts):
+            for start, stop, ids, begin in own.encode_steps(batch.column("_text")):
                 at, piece, first, length, crc = [], [], [], [], []
                 for i in range(stop - start):
                     doc = np.append(ids[begin[i] : begin[i + 1]], np.uint32(end_id)).astype("<u4")

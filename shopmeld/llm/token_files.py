@@ -55,7 +55,7 @@ def _train(tokenizer: str, end_id: int, kind: str):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         samples = []
         for batch in batches:
-            for _, _, ids, begin in encoder(tokenizer).encode_steps(batch.column("_text").to_pylist()):
+            for _, _, ids, begin in encoder(tokenizer).encode_steps(batch.column("_text")):
                 for a, b in zip(begin[:-1], begin[1:], strict=True):
                     samples.append(np.append(ids[a:b][:SAMPLE_IDS], end_id).astype(kind).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([trained(samples)], pa.binary())], ["dictionary"])
@@ -98,7 +98,7 @@ def _writer(folder: str, tokenizer: str, end_id: int, kind: str, dictionary: byt
                 out.write(struct.pack(HEAD, MAGIC, np.dtype(kind).itemsize, 0, digest))
                 at = HEAD_BYTES
             doc_ids.append(batch.column("_id"))
-            for _, _, ids, begin in encoder(tokenizer).encode_steps(batch.column("_text").to_pylist()):
+            for _, _, ids, begin in encoder(tokenizer).encode_steps(batch.column("_text")):
                 for a, b in zip(begin[:-1], begin[1:], strict=True):
                     frame = press.compress(np.append(ids[a:b], end_id).astype(kind).tobytes())
                     index.append((at, b - a + 1))

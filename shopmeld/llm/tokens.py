@@ -3,6 +3,9 @@
 Byte-pair merges never cross a boundary of the pre-tokenizer, and there always is one before a space that
 a visible Latin character follows. Texts are cut there, and each distinct piece is encoded once per worker:
 natural text repeats its words, and the library spends most of its time on merging them anew.
+
+Cutting and telling pieces apart are Arrow's work on whole columns. New pieces are encoded many to a text, with a
+mark between two whose ids no other piece has; where the marks do not come back, each piece is a text of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cut before a space only if one of these follows: visible ASCII or a Latin letter, never a mark or white space.
 VISIBLE = "!-~À-ɏ"
@@ -21,20 +26,35 @@ PIECE = re.compile(
     f"(?<=[{VISIBLE}])\n(?=[{VISIBLE}])| ?[^ \n]*(?:(?: (?![{VISIBLE}])|(?<![{VISIBLE}])\n|\n(?![{VISIBLE}]))[^ \n]*)*"
 )
 #: Where the pieces are not simply words with the space before them, and single line breaks.
-UNUSUAL = re.compile(f" (?![{VISIBLE}])|(?<![{VISIBLE}])\n|\n(?![{VISIBLE}])|\\x01")
+UNUSUAL = f" (?:[^{VISIBLE}]|\\z)|(?:\\A|[^{VISIBLE}])\n|\n(?:[^{VISIBLE}]|\\z)|\x01"
+#: Pieces that can be encoded side by side in one text.
+PLAIN = f"\\A ?[{VISIBLE}]+\\z"
+#: Marks between such pieces, which hold none of their characters.
+MARKS = ("\n°\n",)
+JOINED_PIECES = 512
 #: Longer pieces are encoded each time.
 CACHED_CHARS = 64
-CACHED_PIECES = 600_000
-STEP_CHARS = 1 << 20
+CACHED_PIECES = 1_000_000
+STEP_BYTES = 4 << 20
 
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def cut(text: str) -> list[str]:
-    """The pieces of a text, in order."""
-    if UNUSUAL.search(text):
-        return PIECE.findall(text)
-    return text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split("\x01")
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def cut(texts: pa.Array) -> pa.Array:
+    """The pieces of each text, in order: a list per text."""
+    unusual = pc.match_substring_regex(texts, UNUSUAL)
+    lists = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, "\n", "\x01\n\x01"), " ", "\x01 "), "\x01")
+    odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False))
+    if not len(odd):
+        return lists
+    found = pa.array([PIECE.findall(t) for t in _strings(texts.take(pa.array(odd)))], lists.type)
+    at = np.arange(len(texts))
+    at[odd] = len(texts) + np.arange(len(odd))
+    return pa.concat_arrays([lists, found]).take(pa.array(at))
 
 
 class Encoder:
@@ -46,36 +66,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.mark, self.mark_id = next(filter(None, map(self._marks, MARKS)), (None, None))
         self._forget()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _marks(self, mark: str) -> tuple[str, int] | None:
+        """The mark and its id, if it is one id that stays apart from what is before and after it."""
+        sides = ["a", " a", "?", " ?", "1", " 'a", "é", " é,"]
+        (ids,), alone = self._ids([mark]), self._ids(sides)
+        if len(ids) != 1 or any(ids[0] in x for x in alone):
+            return None
+        pairs = [(i, j) for i in range(len(sides)) for j in range(len(sides))]
+        met = self._ids([sides[i] + mark + sides[j] for i, j in pairs])
+        same = all(x == alone[i] + ids + alone[j] for (i, j), x in zip(pairs, met, strict=True))
+        return (mark, ids[0]) if same else None
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded))) + self.starts[-1]
-        self.known.update(zip(pieces, range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
-        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(encoded), np.uint32)])
-        self.starts = np.concatenate([self.starts, ends])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and where each text's ids start (one more for the end)."""
+    def _alone(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        encoded = self._ids(pieces)
+        return np.fromiter(chain.from_iterable(encoded), np.uint32), np.fromiter(map(len, encoded), np.int64, len(encoded))
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain pieces, encoded many to a text."""
+        if self.mark is None:
+            return self._alone(pieces)
+        texts = [self.mark.join([*pieces[i : i + JOINED_PIECES], ""]) for i in range(0, len(pieces), JOINED_PIECES)]
+        ids = np.fromiter(chain.from_iterable(self._ids(texts)), np.uint32)
+        marks = ids == self.mark_id
+        ends = np.flatnonzero(marks)
+        if len(ends) != len(pieces):
+            return self._alone(pieces)
+        return ids[~marks], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, pieces: pa.Array) -> list[str]:
+        plain = pc.match_substring_regex(pieces, PLAIN)
+        simple, others = _strings(pieces.filter(plain)), _strings(pieces.filter(pc.invert(plain)))
+        (ids, sizes), (more_ids, more_sizes) = self._joined(simple), self._alone(others)
+        learnt = simple + others
+        first = len(self.starts) - 1
+        self.known.update(zip(learnt, range(first, first + len(learnt)), strict=True))
+        self.pool = np.concatenate([self.pool, ids, more_ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([sizes, more_sizes]))])
+        return learnt
+
+    def encode(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), and where each text's ids start (one more for the end)."""
         if len(self.known) > CACHED_PIECES:
             self._forget()
-        split = [cut(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        pieces = list(chain.from_iterable(split))
+        split = cut(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()))
+        counts = pc.list_value_length(split).to_numpy()
+        coded = split.flatten().dictionary_encode()
+        pieces = _strings(coded.dictionary)
         places = list(map(self.known.get, pieces))
         fresh = []
         if None in places:
             missing = [i for i, p in enumerate(places) if p is None]
-            fresh = list(dict.fromkeys(pieces[i] for i in missing))
-            self._learn(fresh)
+            fresh = self._learn(coded.dictionary.take(pa.array(missing)))
             for i in missing:
                 places[i] = self.known[pieces[i]]
-        at = np.array(places, np.int64)
+        at = np.array(places, np.int64)[coded.indices.to_numpy()]
         begin = self.starts[at]
         sizes = self.starts[at + 1] - begin
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -85,16 +141,15 @@ class Encoder:
                 del self.known[p]
         return ids, ends[np.concatenate([[0], np.cumsum(counts)])]
 
-    def encode_steps(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def encode_steps(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """encode() over runs of texts of bounded length: first row, end row, ids, starts. Null is empty."""
-        start = 0
+        texts = pc.fill_null(texts, "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        start = before = 0
         while start < len(texts):
-            stop, held = start, 0
-            while stop < len(texts) and (stop == start or held + len(texts[stop] or "") <= STEP_CHARS):
-                held += len(texts[stop] or "")
-                stop += 1
-            yield start, stop, *self.encode([t or "" for t in texts[start:stop]])
-            start = stop
+            stop = max(start + 1, int(np.searchsorted(ends, before + STEP_BYTES, "right")))
+            yield start, stop, *self.encode(texts.slice(start, stop - start))
+            start, before = stop, int(ends[stop - 1])
 
 
 def encoder(path: str) -> Encoder:
