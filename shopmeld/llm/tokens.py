@@ -30,7 +30,7 @@ UNUSUAL = f" (?:[^{VISIBLE}]|\\z)|(?:\\A|[^{VISIBLE}])\n|\n(?:[^{VISIBLE}]|\\z)|
 #: Pieces that can be encoded side by side in one text.
 PLAIN = f"\\A ?[{VISIBLE}]+\\z"
 #: Marks between such pieces, which hold none of their characters.
-MARKS = ("\n°\n",)
+MARKS = ("\n", "\n°\n")
 JOINED_PIECES = 512
 #: Longer pieces are encoded each time.
 CACHED_CHARS = 64
