@@ -57,3 +57,30 @@ def test_steps_take_columns_with_nulls_and_slices():
     assert (start, stop, begin[0], begin[2], begin[-1]) == (0, 5, 0, 0, len(ids))
     pieces = cut(column.fill_null("").cast(pa.large_string())).to_pylist()
     assert ["".join(x) for x in pieces] == column.fill_null("").to_pylist() and pieces[-1] == ["a", " b"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_runs_of_letters_are_parted_from_punctuation_and_go_to_the_model_alone(name):
+    rng = np.random.default_rng(3)
+    letters = [c for c in LATIN if c.isalpha() and c <= "ÿ"]
+    runs = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 12, 1500)]
+    texts = [" ".join(run + rest for run in runs) for rest in ("", ",", ".", "?!", "-", "...)")]
+    own = Encoder(public_file(name))
+    own.tokenizer = Counting(own.tokenizer)
+    check(own, texts)
+    assert len(own.known) > 8000 and own.tokenizer.asked <= 2
+    check(own, ["it's x's, 's 't can't. a,b a,'s I'LL O'Neill\nÉcole,\nß ÿ' İstanbul ſ. a1 á, Ċ a Ċb"])
+
+
+@pytest.mark.parametrize("pattern", ["[A-Z]?[a-z]+", "[a-z]{1,30}", "[a-zà-ÿ]+,?"])
+def test_files_that_part_runs_otherwise_keep_the_library_s_words(pattern, tmp_path):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(public_file("byte_bpe_50k.json"))
+    other.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(Regex(pattern + "| "), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    other.save(str(tmp_path / "other.json"))
+    own = Encoder(str(tmp_path / "other.json"))
+    assert own.bare is None
+    check(own, ["camelCaseWords, theQuick, word, " + "long" * 20, "the, quick. Ébc,"])
