@@ -49,7 +49,7 @@ STEP_BYTES = 4 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def _strings(values: pa.Array) -> list[str]:
+def strings(values: pa.Array) -> list[str]:
     return values.to_numpy(zero_copy_only=False).tolist()
 
 
@@ -68,7 +68,7 @@ def cut(texts: pa.Array) -> pa.Array:
     odd = np.flatnonzero(unusual.to_numpy(zero_copy_only=False))
     if not len(odd):
         return lists
-    found = pa.array([PIECE.findall(t) for t in _strings(texts.take(pa.array(odd)))], lists.type)
+    found = pa.array([PIECE.findall(t) for t in strings(texts.take(pa.array(odd)))], lists.type)
     at = np.arange(len(texts))
     at[odd] = len(texts) + np.arange(len(odd))
     return pa.concat_arrays([lists, found]).take(pa.array(at))
@@ -159,8 +159,8 @@ class Encoder:
 
     def _runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for runs of letters, by the bare model."""
-        shown = pa.array([run.translate(self.shown) for run in _strings(runs)], runs.type).dictionary_encode()
-        ids, sizes = self._between(_strings(shown.dictionary), BREAK, self.break_id, self.bare)
+        shown = pa.array([run.translate(self.shown) for run in strings(runs)], runs.type).dictionary_encode()
+        ids, sizes = self._between(strings(shown.dictionary), BREAK, self.break_id, self.bare)
         return _taken(ids, np.concatenate([[0], np.cumsum(sizes)]), shown.indices.to_numpy())
 
     def _learn(self, pieces: pa.Array) -> None:
@@ -172,10 +172,10 @@ class Encoder:
         rests = pc.if_else(pc.equal(rests, ""), pa.scalar(None, rests.type), rests).dictionary_encode()
         plain = ~lettered & pc.match_substring_regex(pieces, PLAIN).to_numpy(zero_copy_only=False)
         others = ~lettered & ~plain
-        simple, odd = (_strings(pieces.filter(pa.array(x))) for x in (plain, others))
+        simple, odd = (strings(pieces.filter(pa.array(x))) for x in (plain, others))
         # Every piece is two parts: one of these and the rest after it, the last being nothing.
         found = [self._runs(runs.dictionary)] if self.bare else []
-        found += [self._joined(simple + _strings(rests.dictionary)), self._alone(odd)]
+        found += [self._joined(simple + strings(rests.dictionary)), self._alone(odd)]
         first_simple = len(runs.dictionary) if self.bare else 0
         first_rest = first_simple + len(simple)
         first_odd = first_rest + len(rests.dictionary)
@@ -188,7 +188,7 @@ class Encoder:
         at[lettered, 1] = np.where(rest < 0, nothing, first_rest + rest)
         ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
         ids, sizes = _taken(ids, np.concatenate([[0], np.cumsum(sizes), [sizes.sum()]]), at.ravel())
-        self.known.update(zip(_strings(pieces), range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
+        self.known.update(zip(strings(pieces), range(len(self.starts) - 1, len(self.starts) - 1 + len(pieces)), strict=True))
         self.pool = np.concatenate([self.pool, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes.reshape(-1, 2).sum(1))])
 
@@ -200,13 +200,13 @@ class Encoder:
         counts = pc.list_value_length(split).to_numpy()
         coded = split.flatten().dictionary_encode()
         pieces = coded.dictionary
-        places = np.fromiter(map(self.known.get, _strings(pieces), repeat(-1)), np.int64, len(pieces))
+        places = np.fromiter(map(self.known.get, strings(pieces), repeat(-1)), np.int64, len(pieces))
         missing = np.flatnonzero(places < 0)
         if len(missing):
             fresh = pieces.take(pa.array(missing))
             places[missing] = len(self.starts) - 1 + np.arange(len(missing))
             self._learn(fresh)
-            for p in _strings(fresh.filter(pc.greater(pc.utf8_length(fresh), CACHED_CHARS))):
+            for p in strings(fresh.filter(pc.greater(pc.utf8_length(fresh), CACHED_CHARS))):
                 del self.known[p]
         ids, sizes = _taken(self.pool, self.starts, places[coded.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(sizes)])

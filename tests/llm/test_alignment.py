@@ -6,10 +6,12 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from shopmeld.llm import alignment
 from shopmeld.llm.alignment import Aligner, aligned_documents, divide, groups_text, pieces_of
 from shopmeld.llm.tokens import public_file
 
@@ -124,3 +126,25 @@ def test_empty_tables_and_names(spark):
     odd = spark.createDataFrame([("x", "hello world"), (None, None)], "`doc.id` string, `a b` string")
     got = {r["doc.id"]: r for r in aligned_documents(odd, *PATHS, id_col="doc.id", text_col="a b").collect()}
     assert got["x"].n_groups == 2 and got[None].groups_sha256 == ""
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(st.sampled_from(LATIN + "\x01é"), max_size=30), st.text(max_size=20)), min_size=1, max_size=8))
+def test_columns_are_cut_like_single_texts(texts):
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    column = pa.array(["left out", *texts], pa.large_string()).slice(1)
+    assert alignment.cut(column).to_pylist() == [pieces_of(t) if t else [] for t in texts]
+
+
+def test_usual_texts_are_not_cut_one_by_one(aligned, monkeypatch):
+    texts = ["the quick brown fox\njumps over", "the lazy dog, naïve.", "x"]
+    want = [groups_text(aligned, aligned.align([t])[0]) for t in texts]
+    monkeypatch.setattr(alignment, "pieces_of", None)
+    places, sizes = aligned.align(texts)
+    ends = np.cumsum(sizes)
+    assert [groups_text(aligned, places[e - n : e]) for n, e in zip(sizes, ends)] == want
+
+
+def test_distinct_values():
+    values = np.array([5, 3, 3, -1, 5, 2**40])
+    assert alignment.distinct(values).tolist() == [-1, 3, 5, 2**40] and alignment.distinct(values[:0]).tolist() == []
