@@ -51,6 +51,22 @@ def stored(df: DataFrame, name: str, folder: str | None = None, codec: str | Non
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def stored_by(df: DataFrame, key: str, name: str, codec: str) -> DataFrame:
+    """The rows of a DataFrame grouped by `key`, stored in buckets of it, so that joins by `key` need not shuffle them.
+
+    Spark knows buckets of catalog tables only; the entry is dropped at once, which leaves files at a given path.
+    """
+    spark = df.sparkSession
+    entry = f"spark_catalog.default.{name.replace('-', '_')}_{uuid.uuid4().hex[:12]}"
+    # as many as the grouping has partitions, so one file for each bucket
+    buckets = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or spark.conf.get("spark.sql.shuffle.partitions")
+    writer = df.write.format("parquet").option("path", scratch(spark, name)).option("compression", codec)
+    writer.bucketBy(int(buckets), key).saveAsTable(entry)
+    found = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return found
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable in Python workers on every executor; once per application."""
     app = spark.sparkContext.applicationId

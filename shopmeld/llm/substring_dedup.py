@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytes import mix, odd_numbers, steps, text_bytes
-from .common import ship, stored, whole
+from .common import ship, stored, stored_by, whole
 
 LENGTH = 200
 SEED_BYTES = 32
@@ -348,41 +348,62 @@ def _cut(length: int):
 
 #: Context bytes of a shard.
 SHARD_BYTES = 1 << 20
-#: Of the stage tables, which hold the texts twice.
+#: Of the stage tables, which hold the texts once.
 CODEC = "zstd"
 
 
+def _texts(docs: DataFrame, text_column: str) -> DataFrame:
+    """Distinct texts: _doc (64-bit hash), _text, _n (rows), stored in buckets of _doc.
+
+    Grouped by the hash alone, so that later joins find the texts where they lie; a second hash tells
+    different texts of the same one, which end the job.
+    """
+    text = whole(text_column)
+    one = F.when(F.col("_least") == F.col("_most"), F.col("_text")).otherwise(F.raise_error(F.lit("two texts have the same 64-bit hash")))
+    grouped = (
+        docs.select(F.xxhash64(text).alias("_doc"), text.alias("_text"), F.xxhash64(F.lit(1), text).alias("_other"))
+        .groupBy("_doc")
+        .agg(F.first("_text").alias("_text"), F.count("*").alias("_n"), F.min("_other").alias("_least"), F.max("_other").alias("_most"))
+    )
+    return stored_by(grouped.select("_doc", one.alias("_text"), "_n"), "_doc", "substring-texts", CODEC)
+
+
 def repeated_bytes(
     docs: DataFrame, length: int = LENGTH, id_column: str = "doc_id", text_column: str = "text", shard_bytes: int = SHARD_BYTES
 ) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes).
 
     Null counts as empty; texts shorter than `length` bytes lose nothing. Rows that repeat a text repeat all
-    its strings. Texts are known by a 64-bit hash. No rows give no rows.
+    its strings. Texts are known by a 64-bit hash. No rows give no rows. The texts are cut where the result is read.
     """
     ship(docs.sparkSession)
-    text = whole(text_column)
-    texts = stored(
-        docs.select(F.xxhash64(text).alias("_doc"), text.alias("_text")).groupBy("_doc", "_text").agg(F.count("*").alias("_n")),
-        "substring-texts",
-        codec=CODEC,
-    )
-    rows = stored(
+    texts = _texts(docs, text_column)
+    anchored = stored(
         texts.select("_doc", "_text").mapInArrow(
             _anchor_rows(length), "_h bigint, _context bigint, _doc bigint, _first int, _last int"
         ),
         "substring-anchors",
         codec=CODEC,
     )
-    kinds = rows.groupBy("_h", "_context").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_first", "_last")).alias("_one"))
-    several = kinds.groupBy("_h").agg(F.sum("_n").alias("_all"), F.count("*").alias("_kinds")).where("_all > 1")
-    shared = stored(kinds.join(several, "_h").select("_h", "_context", "_n", "_kinds", "_one.*"), "substring-kinds", codec=CODEC)
-    met = shared.where("_kinds > 1")
-    part = F.expr(f"substring(cast(_text as binary), _first + 1, _last - _first + {length})")
-    contexts = stored(
-        met.join(texts.select("_doc", "_text"), "_doc").select("_h", "_context", "_n", part.alias("_bytes")), "substring-contexts",
+    # few anchors have a hash that others have too; only these are looked at again. Stored, so that Spark can split a hot hash
+    several = stored(
+        anchored.groupBy("_h")
+        .agg(F.count("*").alias("_all"), (F.min("_context") != F.max("_context")).alias("_met"))
+        .where("_all > 1")
+        .select("_h", "_met"),
+        "substring-hashes",
         codec=CODEC,
     )
+    rows = stored(anchored.join(several, "_h"), "substring-rows", codec=CODEC)
+    shared = stored(
+        rows.groupBy("_h", "_context", "_met").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_first", "_last")).alias("_one"))
+        .select("_h", "_context", "_met", "_n", "_one.*"),
+        "substring-kinds",
+        codec=CODEC,
+    )
+    met = shared.where("_met")
+    part = F.expr(f"substring(cast(_text as binary), _first + 1, _last - _first + {length})")
+    contexts = met.join(texts.select("_doc", "_text"), "_doc").select("_h", "_context", "_n", part.alias("_bytes"))
     sizes = met.groupBy("_h").agg(F.sum(F.col("_last") - F.col("_first") + length).alias("_size"))
     n_bytes, n_split = sizes.agg(F.sum("_size"), F.count_if(F.col("_size") > shard_bytes)).first()
     shards = max(1, -(-(n_bytes or 0) // shard_bytes))
@@ -393,7 +414,7 @@ def repeated_bytes(
     )
     if n_split:
         found = found.distinct()  # several parts may find the same strings of a context
-    single = shared.where("_n = 1 and _kinds > 1").select("_h", "_context")
+    single = shared.where("_n = 1 and _met").select("_h", "_context")
     whole_runs = shared.where("_n > 1").select(
         "_h", "_context", F.lit(0).cast("long").alias("_from"), (F.col("_last") - F.col("_first")).cast("long").alias("_to")
     )
@@ -406,7 +427,6 @@ def repeated_bytes(
     results = texts.join(marks, "_doc", "left").select("_doc", "_text", "_n", "_marks").mapInArrow(
         _cut(length), "_doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     )
-    results = stored(results, "substring-results", codec=CODEC)
-    return docs.select(F.col(id_column), F.xxhash64(text).alias("_doc")).join(results, "_doc").select(
+    return docs.select(F.col(id_column), F.xxhash64(whole(text_column)).alias("_doc")).join(results, "_doc").select(
         id_column, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -114,6 +115,44 @@ def test_repeated_bytes_against_brute_force(spark, docs, none):
     assert repeated_bytes(none).count() == 0 and repeated_bytes(docs).count() == len(ROWS)
 
 
+def test_repeated_bytes_keeps_and_moves_texts_once(spark, monkeypatch, capsys):
+    """Disk of op5: one stage table holds the texts, and they are shuffled for their grouping only."""
+    rng = np.random.default_rng(12)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage = letters(400)
+    texts = [letters(3000) + passage[k % 7 :] + letters(50) for k in range(300)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), spark.sparkContext.applicationId)
+    before, dealt = set(base.glob("substring-*")), []
+    monkeypatch.setattr(substring_dedup, "_dealt", lambda contexts, *a, f=substring_dedup._dealt: dealt.append(contexts) or f(contexts, *a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = repeated_bytes(table).drop("kept")
+        plans = []
+        for df in (*dealt, result):
+            df.explain(mode="formatted")
+            plans.append(capsys.readouterr().out)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert result.count() == len(texts) and result.where("n_removed >= 394").count() == len(texts)
+    written = sum(p.stat().st_size for d in set(base.glob("substring-*")) - before for p in d.rglob("*.parquet"))
+    assert 0.5 < written / sum(map(len, texts)) < 1.1  # letters take 0.6 of their bytes
+    assert len(plans) == 2
+    for plan in plans:
+        exchanges = [x for x in plan.split("\n\n") if ") Exchange\n" in x]
+        assert exchanges and not any("_text#" in x for x in exchanges)
+    assert not [t.name for t in spark.catalog.listTables("spark_catalog.default") if t.name.startswith("substring_")]
+
+
+def test_texts_of_one_hash_end_the_job(spark, monkeypatch):
+    real = F.xxhash64
+    monkeypatch.setattr(F, "xxhash64", lambda *c: real(*c) if len(c) > 1 else F.lit(7).cast("long"))
+    same = spark.createDataFrame([(1, "a"), (2, "a")], "doc_id bigint, text string")
+    assert repeated_bytes(same).count() == 2
+    with pytest.raises(Exception, match="same 64-bit hash"):
+        repeated_bytes(same.unionByName(same.withColumn("text", F.lit("b")))).count()
+
+
 def test_suffix_array_and_prefixes():
     data = np.frombuffer(b"banana bandana banana", np.uint8)
     order, _ = suffix_array(data, 32)
